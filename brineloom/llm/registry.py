@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from brineloom.llm import chat
+from brineloom.llm import chat, html, langid, packing, toxicity, urls
 
-_MODULES = (chat,)
+_MODULES = (chat, html, langid, packing, toxicity, urls)
 
 
 def queries() -> dict:
