@@ -42,6 +42,8 @@ STEMS = (4, 5, 6)
 MIN_SUPPORT, SUPPORT_SHARE = 5, 0.001
 #: Lower bound (Wilson) of the share of toxic among the texts that hold a stem.
 PRECISION, Z = 0.4, 2.6
+#: A stem of this log lift or more has weight 1.
+FULL_LIFT = 6.0
 FIT_ROWS = 100_000
 PRIOR = 0.02
 NEGATION_REACH = 3
@@ -175,7 +177,7 @@ def learn_lexicon(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     low = (p + Z * Z / (2 * n) - Z * np.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
     lift = np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1))
     keep = (low >= PRECISION) & (lift > 1)
-    return stems[keep], np.minimum(lift[keep], 6.0)
+    return stems[keep], np.minimum(lift[keep] / FULL_LIFT, 1.0)
 
 
 def _channels(batch_texts: pa.Array, insults: _Lookup, known: _Lookup) -> np.ndarray:
