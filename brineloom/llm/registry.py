@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from brineloom.llm import chat, html, langid, packing, substrings, toxicity, urls
+from brineloom.llm import chat, decontam, html, langid, packing, substrings, toxicity, urls
 
-_MODULES = (chat, html, langid, packing, substrings, toxicity, urls)
+_MODULES = (chat, decontam, html, langid, packing, substrings, toxicity, urls)
 
 
 def queries() -> dict:
