@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from brineloom.llm import chat, decontam, html, langid, neardup, packing, substrings, toxicity, urls
+from brineloom.llm import ann, chat, decontam, html, langid, neardup, packing, substrings, toxicity, urls
 
-_MODULES = (chat, decontam, html, langid, neardup, packing, substrings, toxicity, urls)
+_MODULES = (ann, chat, decontam, html, langid, neardup, packing, substrings, toxicity, urls)
 
 
 def queries() -> dict:
