@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from brineloom.llm import words as W
 from brineloom.llm.langid import _lowered, fold
+from brineloom.llm.shared import materialize
 
 #: Bytes of the stems that the insult trie holds, besides whole words.
 STEMS = (4, 5, 6)
@@ -45,6 +46,8 @@ PRECISION, Z = 0.4, 2.6
 #: A stem of this log lift or more has weight 1.
 FULL_LIFT = 6.0
 FIT_ROWS = 100_000
+#: Labels up to this number are broadcast; more are joined by a shuffle, once.
+BROADCAST_ROWS = 2_000_000
 PRIOR = 0.02
 NEGATION_REACH = 3
 CHANNELS = ("targeted", "plain", "negated", "reported", "threat")
@@ -280,7 +283,10 @@ class Model:
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the labelled rows of ``docs`` outside the held-out fold."""
     lab = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold(F.col("doc_id"), 5) != 0)).select("doc_id", F.col("toxic").alias("label"))
-    texts = docs.select("doc_id", "text").join(lab, "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "label", "doc_id")
+    small = lab.count() <= BROADCAST_ROWS
+    texts = docs.select("doc_id", "text").join(F.broadcast(lab) if small else lab, "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "label", "doc_id")
+    if not small:
+        texts = materialize(texts, "labelled")  # one shuffle of the texts instead of one a pass
     hashes, weights = learn_lexicon(texts)
     prior = np.append(np.zeros(len(CHANNELS)), np.log(PRIOR / (1 - PRIOR)))
     model = docs.sparkSession.sparkContext.broadcast(Model(hashes, weights, prior))
