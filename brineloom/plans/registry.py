@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brineloom.plans import composite
+from brineloom.plans import composite, filters
 
-_MODULES = (composite,)
+_MODULES = (composite, filters)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
