@@ -235,13 +235,13 @@ def components(edges: DataFrame, name: str = "classes") -> DataFrame:
     Each round every id takes the least label among its neighbours, then the label of its label;
     the work is joins on materialized tables, so that hot ids can be split and lost tasks redone.
     """
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-edges")
-    labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "id"), name)
+    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-edges", light=True)
+    labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "id"), name, light=True)
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        nxt = materialize(labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("label").alias("was"), F.least("label", "near").alias("label")), name)
+        nxt = materialize(labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("label").alias("was"), F.least("label", "near").alias("label")), name, light=True)
         jump = nxt.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        nxt = materialize(nxt.join(jump, "label", "left").select("id", F.least("label", "further").alias("label"), "was"), name)
+        nxt = materialize(nxt.join(jump, "label", "left").select("id", F.least("label", "further").alias("label"), "was"), name, light=True)
         if not nxt.where("label <> was").limit(1).count():
             return nxt.select("id", "label")
         labels = nxt.select("id", "label")
@@ -255,21 +255,21 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     """(doc_id, class_id) of each row: the least doc_id of its class; a null doc_id: null."""
     sk = materialize(sketch(docs), "sketches")
     copies = sk.where("n_words > 0").groupBy("x1", "x2").agg(F.min("doc_id").alias("rep"))
-    copies = materialize(copies, "copies")
+    copies = materialize(copies, "copies", light=True)
     # One row of each distinct text.
     texts = sk.join(copies.select(F.col("rep").alias("doc_id"), F.col("x1").alias("k1"), F.col("x2").alias("k2")), "doc_id").where("x1 = k1 and x2 = k2").select("doc_id", "n_words", "bands").dropDuplicates(["doc_id"])
     texts = materialize(texts, "texts")
     banded = texts.where(F.size("bands") > 0).select(F.col("doc_id").alias("id"), "n_words", F.explode("bands").alias("key"))
     h = F.xxhash64("id")
     pivots = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("p0"), F.max("id").alias("p1"), F.min_by("id", h).alias("p2"), F.max_by("id", h).alias("p3")).where("n > 1")
-    pivots = materialize(pivots.drop("n"), "pivots")
+    pivots = materialize(pivots.drop("n"), "pivots", light=True)
     shared = banded.join(pivots, "key")
     found = shared.select("id", F.explode(F.array_distinct(F.array("p0", "p1", "p2", "p3"))).alias("pivot")).where("id <> pivot")
     pairs = found.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).groupBy("a", "b").agg(F.count("*").alias("weight"))
     size = texts.select(F.col("doc_id").alias("id"), F.greatest(F.col("n_words") - (SHINGLE - 1), F.lit(1)).alias("size"))
     pairs = pairs.join(size.withColumnsRenamed({"id": "a", "size": "size_a"}), "a").join(size.withColumnsRenamed({"id": "b", "size": "size_b"}), "b")
     pairs = pairs.where(F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b")).select("a", "b", "weight")
-    pairs = materialize(pairs, "pairs")
+    pairs = materialize(pairs, "pairs", light=True)
     seqs = materialize(_sequences(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()).dropDuplicates(["id"]), "sequences")
     # First each text with the pivot that it shares most sketches with, then what is still open.
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("weight", -F.col("b"))).alias("b"))
@@ -282,13 +282,13 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     for _ in range(ROUNDS):
         # Buckets that still hold several classes: each class meets the next but one by hash.
         held = _labelled(banded, "id", labels, "label").groupBy("key", "label").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-        held = materialize(held, "held")
-        ends = materialize(held.groupBy("key").agg(F.count("*").alias("n"), F.min("low").alias("p0"), F.max("high").alias("p1"), F.min_by("high", F.xxhash64("high")).alias("p2"), F.max_by("low", F.xxhash64("low")).alias("p3")).where("n > 1").drop("n"), "ends")
+        held = materialize(held, "held", light=True)
+        ends = materialize(held.groupBy("key").agg(F.count("*").alias("n"), F.min("low").alias("p0"), F.max("high").alias("p1"), F.min_by("high", F.xxhash64("high")).alias("p2"), F.max_by("low", F.xxhash64("low")).alias("p3")).where("n > 1").drop("n"), "ends", light=True)
         new = held.join(ends, "key").select(F.explode(F.array("low", "high")).alias("id"), F.array("p0", "p1", "p2", "p3").alias("p")).select("id", F.explode("p").alias("pivot")).where("id <> pivot")
         new = new.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         new = _labelled(_labelled(new, "a", labels, "la"), "b", labels, "lb").where("la <> lb").select("a", "b")
         new = new.join(size.withColumnsRenamed({"id": "a", "size": "size_a"}), "a").join(size.withColumnsRenamed({"id": "b", "size": "size_b"}), "b")
-        new = materialize(new.where(F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b")).select("a", "b"), "more")
+        new = materialize(new.where(F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b")).select("a", "b"), "more", light=True)
         if not new.limit(1).count():
             break
         missing = new.select(F.col("a").alias("id")).union(new.select("b")).distinct().join(seqs.select("id"), "id", "left_anti")
@@ -299,7 +299,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
             break
         links, tried = links.unionByName(got), tried.unionByName(new)
         labels = components(links)
-    named = materialize(_labelled(copies.withColumnRenamed("rep", "id"), "id", labels, "class_id").select("x1", "x2", "class_id"), "named")
+    named = materialize(_labelled(copies.withColumnRenamed("rep", "id"), "id", labels, "class_id").select("x1", "x2", "class_id"), "named", light=True)
     known = sk.where("n_words > 0").select("doc_id", "x1", "x2").join(named, ["x1", "x2"]).select("doc_id", "class_id")
     alone = sk.where("n_words = 0").select("doc_id", F.col("doc_id").alias("class_id"))
     null = docs.where(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))
@@ -316,9 +316,9 @@ def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that repeat a doc_id count as one document (one of them stays); rows of a null doc_id
     stay.
     """
-    classes = materialize(near_duplicates(docs), "classes")
+    classes = materialize(near_duplicates(docs), "classes", light=True)
     gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    again = materialize(classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    again = materialize(classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again", light=True)
     small = gone.count() <= BROADCAST_IDS
     kept = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
     if again.limit(1).count():
