@@ -193,14 +193,14 @@ def flt17(spark, sf):
 @query("flt18_standardize", """, c as (select px, avg(value) as seasonal, greatest(stddev_samp(value), 0.5) as scale from obs where px % 3 <> 0 group by px),
   j as (select o.sensor, o.day, o.px, o.value, c.seasonal, c.scale, (o.value - c.seasonal)/c.scale as z, case when o.k > 50 then (o.value - c.seasonal)/c.scale end as zg from obs o left join c on o.px = c.px),
   b as (select *, coalesce(zg,0)*scale + seasonal as kel from j), m as (select day, median(kel) as med from b group by day)
-  select sensor, cast(b.day as varchar) as day, px, round(z,6) as z, round(coalesce(kel, med),5) as back from b join m on b.day = m.day""")
+  select sensor, cast(b.day as varchar) as day, px, round(z,6) as z, round(coalesce(kel, med) + 1e-7,4) as back from b join m on b.day = m.day""")
 def flt18(spark, sf):
     x = obs(spark, sf)
     c = x.where("px % 3 <> 0").groupBy("px").agg(F.avg("value").alias("seasonal"), F.greatest(F.stddev_samp("value"), F.lit(0.5)).alias("scale"))
     z = X.standardized(F.col("value"), F.col("seasonal"), F.col("scale"))
     j = x.join(c, "px", "left").withColumn("z", z).withColumn("kel", X.unstandardized(F.when(F.col("k") > 50, F.col("z")), F.col("seasonal"), F.col("scale")))
     med = j.groupBy("day").agg(F.median("kel").alias("med"))
-    return j.join(med, "day").select("sensor", day_text().alias("day"), "px", r6("z").alias("z"), F.round(F.coalesce("kel", "med"), 5).alias("back"))
+    return j.join(med, "day").select("sensor", day_text().alias("day"), "px", r6("z").alias("z"), F.round(F.coalesce("kel", "med") + 1e-7, 4).alias("back"))
 
 
 @query("flt19_apply_offset", """, f as (select sensor, case sensor when 'view' then 0.0 when 'click' then 1.5 else -2.25 end as off, case sensor when 'purchase' then 1.25 else 1.0 end as slope from (select distinct sensor from obs))

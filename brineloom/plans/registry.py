@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brineloom.plans import composite, filters
+from brineloom.plans import composite, filters, joins, stats
 
-_MODULES = (composite, filters)
+_MODULES = (composite, filters, joins, stats)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
