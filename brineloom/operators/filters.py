@@ -110,6 +110,8 @@ def evaluate(pixels: DataFrame, criteria: Sequence[Any], by: Sequence[str] = ("d
     if how not in ("all", "any") or not criteria:
         raise ValueError("how is all or any, of one criterion at least")
     labels = unique_labels(criteria)
+    if clash := {"valid", *by} & set(labels):
+        raise ValueError(f"labels {sorted(clash)} are names of the result's own columns")
     scored = pixels.groupBy(*by).agg(*(c.fraction().alias(label) for c, label in zip(criteria, labels, strict=True)))
     passed = {f"pass: {label}": F.coalesce(F.col(f"`{label}`") >= c.prop, F.lit(False)) for c, label in zip(criteria, labels, strict=True)}
     return scored.withColumns(passed).withColumn("valid", reduce(operator.and_ if how == "all" else operator.or_, passed.values()))

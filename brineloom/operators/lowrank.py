@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brineloom.sources.scratch import written
+
 
 def _rows(column: pa.Array, n: int) -> np.ndarray:
     """An array column as a float matrix, NaN where NULL."""
@@ -109,7 +111,7 @@ class Fit:
     deltas: list[float] = field(default_factory=list)
 
 
-def em_fill_rows(matrix: DataFrame, n: int, k: int, t: np.ndarray, alpha: float = 0.0, sweeps: int = 0, tol: float = 1e-3, max_iter: int = 100, save: Callable[[DataFrame], DataFrame] = lambda df: df.persist()) -> tuple[Fit, DataFrame]:
+def em_fill_rows(matrix: DataFrame, n: int, k: int, t: np.ndarray, alpha: float = 0.0, sweeps: int = 0, tol: float = 1e-3, max_iter: int = 100, save: Callable[[DataFrame], DataFrame] = written) -> tuple[Fit, DataFrame]:
     """EM over dealt rows (px, z).  Returns the fit, and (px, z, w): w are a row's loadings on V.
 
     A row's state between rounds is its k loadings, written by ``save``; a round fills the gaps

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brineloom.operators.stats import MAD_SCALE
+from brineloom.sources.scratch import written
 
 
-def clip_pairs(pairs: DataFrame, k: float, slope: float = 1.0, max_rounds: int = 20, by: str = "sensor", scene: str = "day", save: Callable[[DataFrame], DataFrame] = lambda df: df.persist()) -> tuple[DataFrame, int, bool]:
+def clip_pairs(pairs: DataFrame, k: float, slope: float = 1.0, max_rounds: int = 20, by: str = "sensor", scene: str = "day", save: Callable[[DataFrame], DataFrame] = written) -> tuple[DataFrame, int, bool]:
     """(pairs with ``kept``, rounds, converged) from pairs (sensor, day, px, x, y).
 
     Each round judges every pair anew: a scene's offset is the median over its kept pairs (over

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from brineloom.sources.scratch import written
+
 _FOUR = ((-1, 0), (1, 0), (0, -1), (0, 1))
 
 
@@ -73,7 +75,7 @@ def diffuse_time(series: DataFrame, by: Sequence[str], alpha: float, sweeps: int
     return series
 
 
-def components(cells: DataFrame, by: Sequence[str], value: str = "value", save=lambda df: df) -> DataFrame:
+def components(cells: DataFrame, by: Sequence[str], value: str = "value", save=written) -> DataFrame:
     """cells with label: the least cell number of its four-connected patch of equal values.
 
     Labels spread to neighbours, then jump to their label's label, until none changes; ``save``
