@@ -10,7 +10,7 @@ from brineloom.sources.tables import observations
 
 def _composite(spark, sf):
     out = weighted_composite(observations(spark, sf), order=["view", "click", "purchase"], weights={"view": 1.0, "click": 0.5, "purchase": 0.8}, min_members=1)
-    return out.select("day", "px", F.round("mean", 6).alias("mean"), "n", "src", F.round("sd", 6).alias("sd"))
+    return out.select(F.col("day").cast("string").alias("day"), "px", F.round("mean", 6).alias("mean"), "n", "src", F.round("sd", 6).alias("sd"))
 
 
 QUERIES = {"agg01_composite": _composite}
@@ -24,7 +24,7 @@ with m as (select cast(ts as date) as day, user_id as px, value as v,
 cell as (select day, px, bit, max(w) as w, avg(v) as v from m group by all),
 s as (select day, px, sum(w*v)/sum(w) as mean, count(*) as n, bit_or(bit) as src, sum(w) as sw, sum(w*w) as sw2 from cell group by all),
 d as (select c.day, c.px, sum(c.w*(c.v-s.mean)*(c.v-s.mean)) as ss from cell c join s on c.day=s.day and c.px=s.px group by all)
-select s.day, s.px, round(s.mean,6) as mean, s.n, cast(s.src as integer) as src,
+select cast(s.day as varchar) as day, s.px, round(s.mean,6) as mean, s.n, cast(s.src as integer) as src,
        case when s.n >= 2 and s.sw - s.sw2/s.sw > 0 then round(sqrt(d.ss/(s.sw - s.sw2/s.sw)),6) end as sd
 from s join d on s.day=d.day and s.px=d.px""",
 }

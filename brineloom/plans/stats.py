@@ -217,7 +217,8 @@ def agg23(spark, sf):
     return obs(spark, sf).where("water").groupBy("sensor").agg(r6(F.count_if((F.col("k") > 80) != (F.col("value") > 100)) / F.count("*").cast("double")).alias("flips"))
 
 
-_KAPPA = "(avg((a = b)::int) - (avg(a::int)*avg(b::int) + (1-avg(a::int))*(1-avg(b::int))))/(1 - (avg(a::int)*avg(b::int) + (1-avg(a::int))*(1-avg(b::int))))"
+_CHANCE = "(avg(a::int)*avg(b::int) + (1-avg(a::int))*(1-avg(b::int)))"
+_KAPPA = f"case when {_CHANCE} >= 1 then 1.0 else (avg((a = b)::int) - {_CHANCE})/(1 - {_CHANCE}) end"
 
 
 @query("agg24_kappa", f"q as (select sensor, k > 60 as a, value > 40 as b from ev) select sensor, round({_KAPPA},6) as kappa from q group by sensor")
