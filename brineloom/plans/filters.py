@@ -204,7 +204,7 @@ def flt18(spark, sf):
 
 
 @query("flt19_apply_offset", """, f as (select sensor, case sensor when 'view' then 0.0 when 'click' then 1.5 else -2.25 end as off, case sensor when 'purchase' then 1.25 else 1.0 end as slope from (select distinct sensor from obs))
-  select o.sensor, cast(day as varchar) as day, round(avg((value - off)/slope),6) as adj, round(max(case when o.k is not null then off end),6) as off from obs o join f on o.sensor = f.sensor group by o.sensor, day""")
+  select o.sensor, cast(day as varchar) as day, round(avg((value - off)/slope),6) as adj, round(cast(max(case when o.k is not null then off end) as double),6) as off from obs o join f on o.sensor = f.sensor group by o.sensor, day""")
 def flt19(spark, sf):
     s = F.col("sensor")
     off = F.when(s == "view", 0.0).when(s == "click", 1.5).otherwise(-2.25)
