@@ -7,9 +7,17 @@ import os
 from pyspark.sql import SparkSession
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """Let Python workers of this machine find the package; a cluster gets it by --py-files."""
+    root, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+    return spark
+
+
 def local_session(cpus: int | None = None, name: str = "brineloom") -> SparkSession:
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
-    return (
+    return ready(
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(cpus))
