@@ -9,8 +9,8 @@ SKETCHES miss with probability (1 - 0.8 ** TUPLE) ** SKETCHES = 3e-6.
 Candidates: texts that agree in a sketch share a bucket.  Exact copies are one text from the
 start.  A bucket offers each of its texts a few pivots (its first, its last, and two by hash), all
 by aggregates that combine before the shuffle, so neither a bucket's size nor a group of copies
-makes quadratic work.  Then, as long as some bucket still holds several classes and links are
-found, each class in it is compared with another class of the bucket.
+makes quadratic work.  Then each class of a bucket that still holds several is compared with a
+few other classes of the bucket, chosen anew each time, until such a turn finds no link.
 
 Verification: similarity is the number of k-mers that an order-preserving alignment matches over
 the number of k-mers in either text.  The multiset overlap bounds it from above; a narrow band
@@ -28,6 +28,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,8 +42,6 @@ SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, TUPLE = 24, 4
 #: Sets of ids up to this number are broadcast; larger ones are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Rounds that compare classes within buckets, at most (they end when nothing is found).
-ROUNDS = 3
 _U = np.uint64
 _MAX = _U(0xFFFFFFFFFFFFFFFF)
 
@@ -279,11 +279,12 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     links = materialize(links.unionByName(_verify(rest, seqs, threshold).select("a", "b")), "links")
     labels = components(links)
     tried = pairs.select("a", "b")
-    for _ in range(ROUNDS):
-        # Buckets that still hold several classes: each class meets the next but one by hash.
+    for turn in itertools.count(1):
+        # Buckets that still hold several classes: their classes meet pivots that change by turn.
+        by = lambda c: F.xxhash64(c, F.lit(turn))  # noqa: B023, E731
         held = _labelled(banded, "id", labels, "label").groupBy("key", "label").agg(F.min("id").alias("low"), F.max("id").alias("high"))
         held = materialize(held, "held", light=True)
-        ends = materialize(held.groupBy("key").agg(F.count("*").alias("n"), F.min("low").alias("p0"), F.max("high").alias("p1"), F.min_by("high", F.xxhash64("high")).alias("p2"), F.max_by("low", F.xxhash64("low")).alias("p3")).where("n > 1").drop("n"), "ends", light=True)
+        ends = materialize(held.groupBy("key").agg(F.count("*").alias("n"), F.min("low").alias("p0"), F.max("high").alias("p1"), F.min_by("high", by("high")).alias("p2"), F.max_by("low", by("low")).alias("p3")).where("n > 1").drop("n"), "ends", light=True)
         new = held.join(ends, "key").select(F.explode(F.array("low", "high")).alias("id"), F.array("p0", "p1", "p2", "p3").alias("p")).select("id", F.explode("p").alias("pivot")).where("id <> pivot")
         new = new.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         new = _labelled(_labelled(new, "a", labels, "la"), "b", labels, "lb").where("la <> lb").select("a", "b")
