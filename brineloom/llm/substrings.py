@@ -8,7 +8,8 @@ windows of WINDOW words are compared across documents, and consecutive repeated
 maximal repeats.  A word goes if it lies in a window whose words also start in a document with a
 smaller doc_id.
 
-How it runs.  Texts are dealt once into shards of about a MB (by doc_id).  A shard sends the
+How it runs.  Texts are dealt once into shards of about a MB (by doc_id
+and text, so that rows of a null or repeated doc_id spread).  A shard sends the
 DISTINCT hashes of its windows, sorted and packed as differences, to buckets of the hash range; a
 bucket answers each shard with one bit a hash.  So a passage that a third of all documents hold
 costs its bucket one entry a shard, whatever the number of copies, no pair of documents is ever
@@ -171,7 +172,7 @@ def find_repeats(docs: DataFrame, carry=(), layout: Layout | None = None) -> Dat
     L = layout or Layout.of(docs)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     kept = [f for f in base.schema.fields[2:]]
-    base = base.withColumn("__shard", F.pmod(F.xxhash64("doc_id"), F.lit(L.shards)).cast("int")).repartition(L.parts, "__shard")
+    base = base.withColumn("__shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(L.shards)).cast("int")).repartition(L.parts, "__shard")
 
     def probe(key, table):
         s = Shard(table)
