@@ -97,6 +97,21 @@ def test_decontamination_of_nothing(spark):
     assert sorted((r["doc_id"] or -1, r["n_words"], r["n_hit"]) for r in decontam.decontaminate(x, b).collect()) == [(-1, 0, 0), (1, 2, 0)]
 
 
+def test_decontamination_stage_judges_each_row(spark, prose, tmp_path):
+    t = prose(20)
+    spark.createDataFrame([(1, t)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    x = spark.createDataFrame([(1, t, 1), (1, prose(20), 2), (None, t, 3), (None, "clean", 4), (2, None, 5), (3, prose(500) + " " + t, 6), (4, t, 7), (4, t, 8)], "doc_id long, text string, __id long")
+    out = decontam.drop_contaminated(spark, x, str(tmp_path))
+    assert out.columns == x.columns and sorted(r["__id"] for r in out.collect()) == [2, 4, 5, 6]
+
+
+def test_repeats_of_one_id_in_several_shards(spark, prose):
+    t = prose(40)
+    x = spark.createDataFrame([(1, t + " a"), (1, t + " b"), (1, t + " c"), (2, t)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_removed"]) for r in substrings.find_repeats(x, layout=substrings.Layout(2, 50, 3, 40)).collect())
+    assert got == [(1, 0), (1, 0), (1, 0), (2, 40)]
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
