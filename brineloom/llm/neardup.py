@@ -9,8 +9,11 @@ SKETCHES miss with probability (1 - 0.8 ** TUPLE) ** SKETCHES = 3e-6.
 Candidates: texts that agree in a sketch share a bucket.  Exact copies are one text from the
 start.  A bucket offers each of its texts a few pivots (its first, its last, and two by hash), all
 by aggregates that combine before the shuffle, so neither a bucket's size nor a group of copies
-makes quadratic work.  Then each class of a bucket that still holds several is compared with a
-few other classes of the bucket, chosen anew each time, until such a turn finds no link.
+makes quadratic work.  Then, in each bucket whose other texts are of several classes, every pair
+of them of different classes is compared in blocks: each block of the texts outside of the
+bucket's largest class meets every block of texts of a similar length.  The pairs stay inside a
+task, where a bound from hashed k-mers drops most of them exactly and the rest are aligned; only
+links leave it.  So no pair of texts that share a sketch stays open.
 
 Verification: similarity is the number of k-mers that an order-preserving alignment matches over
 the number of k-mers in either text.  The multiset overlap bounds it from above; a narrow band
@@ -28,8 +31,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,6 +43,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, TUPLE = 24, 4
 #: Sets of ids up to this number are broadcast; larger ones are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Words of a block of texts (a long text is a block of its own), and what a text counts besides its words.
+BLOCK_WORDS, TEXT_WORDS = 1 << 20, 64
 _U = np.uint64
 _MAX = _U(0xFFFFFFFFFFFFFFFF)
 
@@ -251,6 +254,106 @@ def _labelled(rows: DataFrame, column: str, labels: DataFrame, out: str) -> Data
     return rows.join(labels.select(F.col("id").alias(column), F.col("label").alias("__l")), column, "left").withColumn(out, F.coalesce("__l", column)).drop("__l")
 
 
+def _block_links(ids, label, bands, seqs, right, own: bool, key: int, threshold: float) -> tuple[list[int], list[int]]:
+    """Links that join the classes of a block and another (own: of a block and itself), as (a, b)."""
+    kmers = [W.windows(x.astype(_U), SHINGLE, 36) for x in seqs]
+    n = np.array([len(k) for k in kmers], np.int64)
+    row = np.repeat(np.arange(len(n)), n)
+    bits = max(1, int(4 * n.max() - 1).bit_length())
+    slot = (_occurrences(np.concatenate(kmers), row) >> _U(64 - bits)).astype(np.int64)
+    ptr = np.append(0, np.cumsum(n))
+    first = np.argmax(bands == key, 1)
+    parent = {x: x for x in label.tolist()}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def present(rows):
+        out = np.zeros((len(rows), 1 << bits), np.float32)
+        for i, r in enumerate(rows):
+            out[i, slot[ptr[r] : ptr[r + 1]]] = 1
+        return out, n[rows] - out.sum(1).astype(np.int64)
+
+    out = ([], [])
+    xs = np.flatnonzero(~right)
+    ys = xs if own else np.flatnonzero(right)
+    step = max(1, min(2048, (1 << 24) >> bits))
+    for lo in range(0, len(xs), step):
+        x = xs[lo : lo + step]
+        px, twice_x = present(x)
+        for at in range(lo if own else 0, len(ys), step):
+            y = ys[at : at + step]
+            py, twice_y = present(y)
+            # K-mers outside of the common slots are surely not in the other text.
+            both = px @ py.T
+            most = both + np.minimum(twice_x[:, None], twice_y[None, :])
+            ok = (1 + threshold) * most >= threshold * (n[x][:, None] + n[y][None, :]) - 1e-6
+            ok &= label[x][:, None] != label[y][None, :]
+            if own:
+                ok &= x[:, None] < y[None, :]
+            i, j = np.nonzero(ok)
+            i, j = x[i], y[j]
+            for some in range(0, len(i), 1024):
+                p, q = i[some : some + 1024], j[some : some + 1024]
+                # A pair that shares an earlier sketch was or is compared there.
+                new = ~((bands[p] == bands[q]) & (np.arange(SKETCHES)[None, :] < first[p][:, None])).any(1)
+                new &= np.array([root(a) != root(b) for a, b in zip(label[p].tolist(), label[q].tolist(), strict=True)], bool)
+                p, q = p[new], q[new]
+                if not len(p):
+                    continue
+                hit = similarities([seqs[k] for k in p], [seqs[k] for k in q], threshold) >= threshold
+                for a, b in zip(p[hit].tolist(), q[hit].tolist(), strict=True):
+                    ra, rb = root(int(label[a])), root(int(label[b]))
+                    if ra != rb:
+                        parent[ra] = rb
+                        out[0].append(int(max(ids[a], ids[b]))), out[1].append(int(min(ids[a], ids[b])))
+    return out
+
+
+def _between_classes(docs, texts, banded, pivots, labels, seqs, threshold: float) -> DataFrame | None:
+    """Links (a, b) between all texts of a bucket that are of different classes and not pivots; None: no such texts.
+
+    Pivots were compared with every text of the bucket before.
+    """
+    width = 1e-3 - float(np.log(threshold))  # texts that can be linked are at most one length class apart
+    members = banded.join(pivots, "key").where("id <> p0 and id <> p1 and id <> p2 and id <> p3").select("id", "n_words", "key")
+    members = materialize(_labelled(members, "id", labels, "label"), "open")
+    mixed = members.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("n"), F.max_by("label", F.struct("n", "label")).alias("major"))
+    mixed = materialize(mixed.where("n > 1").drop("n"), "mixed", light=True)
+    if not mixed.limit(1).count():
+        return None
+    members = members.join(mixed, "key").withColumn("minor", F.col("label") != F.col("major")).withColumn("c", F.floor(F.log(F.col("n_words") - (SHINGLE - 1)) / width))
+    members = materialize(members.select("key", "c", "minor", "id", "label", "n_words"), "open")
+    grid = members.groupBy("key", "c", "minor").agg(F.ceil(F.sum(F.col("n_words") + TEXT_WORDS) / BLOCK_WORDS).alias("n"))
+    grid = materialize(grid, "grid", light=True)
+    x, y = grid.where("minor").select("key", F.col("c").alias("cx"), F.col("n").alias("nx")), grid.select("key", F.col("c").alias("cy"), "minor", F.col("n").alias("ny"))
+    tasks = x.join(y, "key").where("cy - cx in (0, 1) or cy - cx = -1 and not minor").withColumn("gx", F.explode(F.expr("sequence(0, nx - 1)"))).withColumn("gy", F.explode(F.expr("sequence(0, ny - 1)")))
+    tasks = tasks.where("not minor or cx <> cy or gx <= gy").withColumn("own", F.expr("minor and cx = cy and gx = gy")).drop("nx", "ny")
+    tasks = materialize(tasks.withColumn("task", F.monotonically_increasing_id()), "blocks", light=True)
+    missing = members.select("id").distinct().join(seqs.select("id"), "id", "left_anti")
+    if missing.limit(1).count():
+        seqs = seqs.unionByName(materialize(_sequences(docs, missing).dropDuplicates(["id"]), "sequences"))
+    members = members.join(grid, ["key", "c", "minor"]).withColumn("g", F.pmod(F.xxhash64("id"), F.col("n"))).select("key", "c", "minor", "g", "id", "label")
+    sides = [
+        members.where("minor").drop("minor").join(tasks.select("key", F.col("cx").alias("c"), F.col("gx").alias("g"), "task", "own"), ["key", "c", "g"]).withColumn("right", F.lit(False)),
+        members.join(tasks.where("not own").select("key", F.col("cy").alias("c"), "minor", F.col("gy").alias("g"), "task", "own"), ["key", "c", "minor", "g"]).withColumn("right", F.lit(True)),
+    ]
+    columns = ["task", "key", "own", "right", "id", "label"]
+    rows = sides[0].select(*columns).unionByName(sides[1].select(*columns))
+    rows = rows.join(texts.select(F.col("doc_id").alias("id"), "bands"), "id").join(seqs, "id").select(*columns, "bands", "seq")
+
+    def run(table: pa.Table) -> pa.Table:
+        t = table.combine_chunks()
+        bands = np.array(t["bands"].to_pylist(), np.int64)
+        seq = [np.frombuffer(s.as_py(), np.uint32) for s in t["seq"]]
+        a, b = _block_links(t["id"].to_numpy(), t["label"].to_numpy(), bands, seq, t["right"].to_numpy(), t["own"][0].as_py(), t["key"][0].as_py(), threshold)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return materialize(rows.groupBy("task").applyInArrow(run, "a long, b long").distinct(), "links")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id) of each row: the least doc_id of its class; a null doc_id: null."""
     sk = materialize(sketch(docs), "sketches")
@@ -278,28 +381,9 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     rest = _labelled(_labelled(pairs, "a", labels, "la"), "b", labels, "lb").where("la <> lb").join(best, ["a", "b"], "left_anti").select("a", "b")
     links = materialize(links.unionByName(_verify(rest, seqs, threshold).select("a", "b")), "links")
     labels = components(links)
-    tried = pairs.select("a", "b")
-    for turn in itertools.count(1):
-        # Buckets that still hold several classes: their classes meet pivots that change by turn.
-        by = lambda c: F.xxhash64(c, F.lit(turn))  # noqa: B023, E731
-        held = _labelled(banded, "id", labels, "label").groupBy("key", "label").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-        held = materialize(held, "held", light=True)
-        ends = materialize(held.groupBy("key").agg(F.count("*").alias("n"), F.min("low").alias("p0"), F.max("high").alias("p1"), F.min_by("high", by("high")).alias("p2"), F.max_by("low", by("low")).alias("p3")).where("n > 1").drop("n"), "ends", light=True)
-        new = held.join(ends, "key").select(F.explode(F.array("low", "high")).alias("id"), F.array("p0", "p1", "p2", "p3").alias("p")).select("id", F.explode("p").alias("pivot")).where("id <> pivot")
-        new = new.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        new = _labelled(_labelled(new, "a", labels, "la"), "b", labels, "lb").where("la <> lb").select("a", "b")
-        new = new.join(size.withColumnsRenamed({"id": "a", "size": "size_a"}), "a").join(size.withColumnsRenamed({"id": "b", "size": "size_b"}), "b")
-        new = materialize(new.where(F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b")).select("a", "b"), "more", light=True)
-        if not new.limit(1).count():
-            break
-        missing = new.select(F.col("a").alias("id")).union(new.select("b")).distinct().join(seqs.select("id"), "id", "left_anti")
-        if missing.limit(1).count():
-            seqs = materialize(seqs.unionByName(_sequences(docs, missing).dropDuplicates(["id"])), "sequences")
-        got = materialize(_verify(new, seqs, threshold).select("a", "b"), "links")
-        if not got.limit(1).count():
-            break
-        links, tried = links.unionByName(got), tried.unionByName(new)
-        labels = components(links)
+    got = _between_classes(docs, texts, banded, pivots, labels, seqs, threshold)
+    if got is not None:
+        labels = components(links.unionByName(got))
     named = materialize(_labelled(copies.withColumnRenamed("rep", "id"), "id", labels, "class_id").select("x1", "x2", "class_id"), "named", light=True)
     known = sk.where("n_words > 0").select("doc_id", "x1", "x2").join(named, ["x1", "x2"]).select("doc_id", "class_id")
     alone = sk.where("n_words = 0").select("doc_id", F.col("doc_id").alias("class_id"))

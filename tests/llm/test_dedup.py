@@ -171,6 +171,20 @@ def test_classes_equal_brute_force(spark, prose, rng):
     assert got == {d: root(d) for d in words}
 
 
+@pytest.mark.parametrize("block_words", [1 << 20, 60_000])
+def test_hub_of_a_middle_id_joins_its_copies(spark, prose, rng, monkeypatch, block_words):
+    # Each copy is linked to the hub alone (or to a copy edited at nearly the same place).
+    monkeypatch.setattr(neardup, "BLOCK_WORDS", block_words)
+    hub = [f"{w}{i}" for i, w in enumerate(prose(300).split())]
+    docs = [(500, " ".join(hub))]
+    for i in range(400):
+        w, at = list(hub), rng.randrange(len(hub) - 25)
+        w[at : at + 25] = [f"{x}y{i}" for x in prose(25).split()]
+        docs.append((300 + i + (i >= 200), " ".join(w)))
+    x = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["class_id"] for r in neardup.near_duplicates(x).collect()} == {300}
+
+
 def test_one_row_of_each_class_stays(spark, prose):
     t = prose(50)
     x = spark.createDataFrame([(3, t, 1), (1, t, 2), (1, t, 2), (2, prose(40), 3), (None, t, 4)], "doc_id long, text string, n long")
