@@ -216,7 +216,7 @@ class _Segment:
         for k in range(1, WINDOW):
             if not len(which):
                 break
-            ok = ~used[which, k] | (self.term_at[start + p.offset[which, k]] == rank[which, k])
+            ok = ~used[which, k] | ((self.term_at[start + p.offset[which, k]] == rank[which, k]) & (rank[which, k] >= 0))
             which, start = which[ok], start[ok]
         exact[0].append(which), exact[1].append(start)
 

@@ -112,6 +112,20 @@ def test_repeats_of_one_id_in_several_shards(spark, prose):
     assert got == [(1, 0), (1, 0), (1, 0), (2, 40)]
 
 
+def test_a_term_missing_from_a_segment_is_no_wildcard(spark):
+    item = [f"w{i}" for i in range(13)]
+    near = " ".join([*item[:6], "other", *item[7:]])
+    schema = "doc_id long, text string"
+    first = spark.createDataFrame([(1, near), (2, "before alpha"), (3, "alpha else")], schema).coalesce(1)
+    second = spark.createDataFrame([(4, "w6 w6 w6"), (5, "beta beta"), (6, " ".join(item))], schema).coalesce(1)
+    bench = spark.createDataFrame([("long", " ".join(item)), ("short", "alpha beta")], "item_id string, text string")
+    segments = decontam.build_index(first).union(decontam.build_index(second))
+    assert segments.count() == 2
+    counts = {r["term"]: r["n"] for r in decontam.term_counts(segments).collect()}
+    out = decontam.search(segments, decontam.item_phrases(bench), counts).collect()
+    assert {r["doc_id"]: (r["n_hit"], r["items"]) for r in out if r["n_hit"] or r["items"]} == {6: (13, ["long"])}
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
