@@ -229,3 +229,11 @@ def test_stream_equals_batch(spark, tmp_path):
     got = rows(spark.table("daily").select("station", F.col("day").cast("string"), F.coalesce("value", F.lit(-1.0))))
     want = rows(joins.daily_means(x, 0.4).select("station", F.col("day").cast("string"), F.coalesce("value", F.lit(-1.0))))
     assert got == want
+
+
+def test_sample_products_hold_all_stations(spark, monkeypatch):
+    from brineloom.plans import joins
+
+    cells = spark.range(275_000).selectExpr("id as px", "date '2024-01-01' as day", "cast(id as double) as value")
+    monkeypatch.setattr(joins, "obs", lambda spark, sf: cells)
+    assert joins.join09(spark, "").count() == 11_000
