@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from brineloom.llm import ann, chat, html, langid, packing, toxicity, urls
+from brineloom.llm import ann, chat, html, langid, toxicity, urls
 from brineloom.llm import words as W
 
 SF = "/root/testdata/sf0.01"
@@ -154,40 +154,6 @@ def test_chat_round_trips(spark):
     assert chat.format_chat(x.where("false")).count() == 0
 
 
-def test_packing_keeps_all_and_overfills_nothing(spark, rng):
-    docs = spark.createDataFrame([(i, "w " * rng.choice((0, 1, 5, 90, 100, 700, 5000))) for i in range(300)] + [(None, "a b"), (1, "a b"), (7, None)], "doc_id long, text string")
-    got = packing.pack(docs.repartition(3)).toPandas()
-    assert got["length"].sum() == docs.select(F.sum(packing.word_count(F.col("text")))).first()[0]
-    held = got[got["bin_id"].notna()].sort_values(["bin_id", "bin_offset"])
-    for _, b in held.groupby("bin_id"):
-        cap, at = b["bin_capacity"].iloc[0], 0
-        for _, r in b.iterrows():
-            assert r["bin_offset"] == at
-            at += r["length"]
-        assert at <= cap == min(c for c in packing.CAPACITIES if c >= at)
-    assert held["length"].sum() / held.drop_duplicates("bin_id")["bin_capacity"].sum() > 0.9
-
-
-@settings(deadline=None, max_examples=40)
-@given(st.lists(st.integers(1, 64), max_size=40))
-def test_best_fit_equals_a_search_of_all_bins(sizes):
-    sizes = sorted(sizes, reverse=True)
-    caps, over = (16, 32, 64), 4
-    got = packing.best_fit(np.array(sizes, np.int64), caps, over)
-    room, bins, left = [], [], sum(sizes)
-    for s in sizes:
-        fits = [(r, i) for i, r in enumerate(room) if r >= s]
-        if fits:
-            b = min(fits)[1]
-        else:
-            b = len(room)
-            room.append(packing.opened(s, left, caps, over))
-        bins.append(b)
-        room[b] -= s
-        left -= s
-    assert got[0].tolist() == bins
-
-
 def test_nearest_of_odd_vectors(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(400, 8)).astype(np.float32)
