@@ -1,19 +1,23 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five transducers read a text's words and are composed into one machine that runs over clauses
-(what stands between . ! ? ; : and line feeds):
-
-* insult: a trie of stems with weights, learned from labels; a word takes the heaviest stem or
-  whole word that matches from its start;
-* threat: verbs of harm, which count once a target follows in the clause;
-* target: pronouns and names of a second or third party;
-* negation: flips the next NEGATION_REACH words of its clause;
-* reported speech: from a verb of saying to the clause's end.
-
-The machine's state at an insult or threat (targeted or not, negated, reported) sends its weight
-to one of five channels.  A clause adds the logarithm of one plus what it gathered in each
-channel; the document's score is a logistic function of the channels' sums, so it is matched
-clauses that count and not words alone.  The logistic weights are learned too.
+Five transducers work on the words of a clause (what stands between . ! ? ; : and line feeds).  A
+word is a symbol: a set of flags that the lexicon gives (insult, threat, target, negation, report)
+and that the transducers add (negated, reported, targeted):
+
+* negation: after a negation the next NEGATION_REACH words are marked negated;
+* reported speech: from a verb of saying to the clause's end words are marked reported;
+* target: pronouns of a second or third party.  It has two starts, one that promises a target
+  in the clause and marks all words targeted, one that promises none; each clause has exactly one
+  path that keeps its promise;
+* threat: a verb of harm that is targeted, neither negated nor reported, has weight 1 in its channel;
+* insult: a word with a stem or whole word of the lexicon has the heaviest one's weight in the
+  channel negated, reported, targeted or plain, by its marks.
+
+Each is a table (state, symbol) to (state, symbol, arc weight); ``compose`` makes one machine of
+them, once, and ``run`` reads all clauses that hold an insult or a threat through it side by side.
+A clause adds the logarithm of one plus what its path gathered in each channel; the document's
+score is a logistic function of the channels' sums, so it is matched clauses that count and not
+words alone.  The lexicon's weights and the logistic weights are learned.
 
 Learning: stems over ALL labelled texts of the training folds, in two passes (first counts in
 toxic texts; then, for stems that at least max(MIN_SUPPORT, SUPPORT_SHARE of toxic texts) have,
@@ -23,12 +27,16 @@ most FIT_ROWS labelled rows, those of the smallest hashes.
 
 Defined results: null or empty text: the score of a text without matches; very long texts are
 read whole; repeated rows: repeated results; conflicting or repeated labels: each label row
-counts; a null label or doc_id: not used to learn; no labels: every score is PRIOR; other columns
-are ignored.
+counts; a null label or doc_id: not used to learn; a null doc_id is not held out; no labels or an
+empty table: every score is PRIOR; other columns are ignored, or carried by the pipeline's stage
+whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,7 +66,10 @@ TARGETS = "you your he she they them him her du dich dir euch ihr sie er tu te t
 NEGATIONS = "not no never nobody nicht kein keine nie ne pas jamais nunca jamás tampoco".split()
 REPORTS = "said says say told reported quoted called wrote sagte sagt schrieb zitierte dit disait écrit rapporte dijo dice escribió citó".split()
 
-_THREAT, _TARGET, _NEGATION, _REPORT = 1, 2, 3, 4
+# Flags of a symbol: what the lexicon says of a word, then what the transducers mark.
+_INSULT, _THREAT, _TARGET, _NEGATION, _REPORT, _NEGATED, _REPORTED, _TARGETED = (1 << i for i in range(8))
+SYMBOLS, WORD_SYMBOLS = 256, 32
+_DEAD = -1
 _END = np.zeros(256, bool)
 _END[[ord(x) for x in ".!?;:\n"]] = True
 
@@ -70,7 +81,7 @@ def _known() -> dict[int, int]:
         for c in W.chunks(texts):
             w = W.split(c, c.data, W.LETTERS)
             for h in W.hash_words(w, c.data):
-                out[int(h)] = kind
+                out[int(h)] = out.get(int(h), 0) | kind
     return out
 
 
@@ -183,6 +194,130 @@ def learn_lexicon(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return stems[keep], np.minimum(lift[keep] / FULL_LIFT, 1.0)
 
 
+@dataclass(frozen=True)
+class Transducer:
+    """Tables [state, symbol]: the next state (or _DEAD), the symbol written, and arc weights.
+
+    fixed: [state, symbol, channel]; scaled: the same, to be multiplied by the word's own weight.
+    """
+
+    starts: tuple[int, ...]
+    accepts: frozenset[int]
+    to: np.ndarray
+    says: np.ndarray
+    fixed: np.ndarray
+    scaled: np.ndarray
+
+    @staticmethod
+    def of(n: int, arc, starts=(0,), accepts=None) -> Transducer:
+        """From arc(state, symbol) -> (state, symbol, {channel: weight}, {channel: scaled weight})."""
+        to, says = np.zeros((n, SYMBOLS), np.int16), np.zeros((n, SYMBOLS), np.int16)
+        fixed, scaled = np.zeros((n, SYMBOLS, len(CHANNELS))), np.zeros((n, SYMBOLS, len(CHANNELS)))
+        for s in range(n):
+            for x in range(SYMBOLS):
+                to[s, x], says[s, x], one, many = arc(s, x)
+                for table, weights in ((fixed, one), (scaled, many)):
+                    for channel, weight in weights.items():
+                        table[s, x, CHANNELS.index(channel)] = weight
+        return Transducer(tuple(starts), frozenset(range(n) if accepts is None else accepts), to, says, fixed, scaled)
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """The machine that gives b what a writes; its states are the pairs that a start can reach."""
+    pairs = {}
+    order = []
+
+    def number(p):
+        if p not in pairs:
+            pairs[p] = len(order)
+            order.append(p)
+        return pairs[p]
+
+    starts = tuple(number((x, y)) for x in a.starts for y in b.starts)
+    to, says, fixed, scaled = [], [], [], []
+    for s, t in order:  # grows while it is read
+        middle = a.says[s]
+        own = np.full(SYMBOLS, _DEAD, np.int16)
+        for x in np.flatnonzero((a.to[s] != _DEAD) & (b.to[t, middle] != _DEAD)).tolist():
+            own[x] = number((int(a.to[s, x]), int(b.to[t, middle[x]])))
+        to.append(own), says.append(b.says[t, middle])
+        fixed.append(a.fixed[s] + b.fixed[t, middle]), scaled.append(a.scaled[s] + b.scaled[t, middle])
+    accepts = frozenset(i for i, (s, t) in enumerate(order) if s in a.accepts and t in b.accepts)
+    return Transducer(starts, accepts, *map(np.stack, (to, says, fixed, scaled)))
+
+
+def negation() -> Transducer:
+    return Transducer.of(NEGATION_REACH + 1, lambda s, x: (NEGATION_REACH if x & _NEGATION else max(0, s - 1), x | _NEGATED * (s > 0), {}, {}))
+
+
+def reported() -> Transducer:
+    return Transducer.of(2, lambda s, x: (1 if x & _REPORT else s, x | _REPORTED * s, {}, {}))
+
+
+def target() -> Transducer:
+    """States: none promised; promised; promised and seen."""
+
+    def arc(s, x):
+        if not s:
+            return (_DEAD if x & _TARGET else 0), x, {}, {}
+        return (2 if x & _TARGET else s), x | _TARGETED, {}, {}
+
+    return Transducer.of(3, arc, starts=(0, 1), accepts=(0, 2))
+
+
+def threat() -> Transducer:
+    return Transducer.of(1, lambda s, x: (0, x, {"threat": 1.0} if x & _THREAT and x & _TARGETED and not x & (_NEGATED | _REPORTED) else {}, {}))
+
+
+def insult() -> Transducer:
+    def channel(x):
+        return "negated" if x & _NEGATED else "reported" if x & _REPORTED else "targeted" if x & _TARGETED else "plain"
+
+    return Transducer.of(1, lambda s, x: (0, x, {}, {channel(x): 1.0} if x & _INSULT else {}))
+
+
+def grammar() -> list[Transducer]:
+    return [negation(), reported(), target(), threat(), insult()]
+
+
+_MACHINE: list[Transducer] = []
+
+
+def machine() -> Transducer:
+    """All five composed, once a process."""
+    if not _MACHINE:
+        _MACHINE.append(functools.reduce(compose, grammar()))
+    return _MACHINE[0]
+
+
+def run(m: Transducer, symbols: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """[clauses, CHANNELS]: what the accepted path of each clause gathers; clauses one after another.
+
+    All clauses advance together, longest first, so that a step touches those that have a word left.
+    """
+    n = len(sizes)
+    out = np.zeros((n, len(CHANNELS)))
+    if not n:
+        return out
+    order = np.argsort(-sizes, kind="stable")
+    first = (np.cumsum(sizes) - sizes)[order]
+    left = sizes[order]
+    active = np.searchsorted(-left, -np.arange(1, int(left[0]) + 1), "right")  # clauses with a word at each place
+    accepts = np.zeros(len(m.to), bool)
+    accepts[list(m.accepts)] = True
+    for start in m.starts:
+        state, gathered = np.full(n, start, np.int16), np.zeros((n, len(CHANNELS)))
+        for place, k in enumerate(active.tolist()):
+            at = first[:k] + place
+            s, x = state[:k], symbols[at]
+            alive = s != _DEAD
+            gathered[:k] += (m.fixed[s, x] + m.scaled[s, x] * weights[at][:, None]) * alive[:, None]
+            state[:k] = np.where(alive, m.to[s, x], _DEAD)
+        kept = (state != _DEAD) & accepts[state]
+        out[order[kept]] += gathered[kept]
+    return out
+
+
 def _channels(batch_texts: pa.Array, insults: _Lookup, known: _Lookup) -> np.ndarray:
     """[texts, CHANNELS] sums over clauses of log(1 + weight)."""
     out = np.zeros((len(batch_texts), len(CHANNELS)))
@@ -194,58 +329,31 @@ def _channels(batch_texts: pa.Array, insults: _Lookup, known: _Lookup) -> np.nda
         for h, own in kinds:
             at, v = insults(h)
             np.maximum.at(weight, own[at], v)
-        kind = np.zeros(len(w.starts), np.int8)
+        symbol = _INSULT * (weight > 0).astype(np.int16)
         at, v = known(w.hashes)
-        kind[at] = v
+        symbol[at] |= v
         row = w.row
-        hot = np.unique(row[(weight > 0) | (kind == _THREAT)])
+        clause = np.cumsum(_END[c.data])[w.starts]
+        new = np.append(True, (row[1:] != row[:-1]) | (clause[1:] != clause[:-1]))
+        number = np.cumsum(new) - 1
+        hot = np.unique(number[(symbol & (_INSULT | _THREAT)) > 0])
         if not len(hot):
             continue
-        clause = np.cumsum(_END[c.data])[w.starts]
-        for i in hot:
-            lo, hi = w.ptr[i], w.ptr[i + 1]
-            out[c.lo + i] = _run(weight[lo:hi], kind[lo:hi], clause[lo:hi])
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(row)))
+        take = np.zeros(len(begin), bool)
+        take[hot] = True
+        # Of plain words in a row, more than NEGATION_REACH change nothing.
+        words = np.flatnonzero(take[number])
+        plain = symbol[words] == 0
+        since = np.arange(len(words)) - np.maximum.accumulate(np.where(plain & ~new[words], -1, np.arange(len(words))))
+        words = words[~(plain & (since > NEGATION_REACH))]
+        size = np.bincount(number[words], minlength=len(begin))[hot]
+        got = run(machine(), symbol[words], weight[words], size)
+        np.add.at(out, c.lo + row[begin[hot]], np.log1p(got))
     return out
 
 
-def _run(weight: np.ndarray, kind: np.ndarray, clause: np.ndarray) -> np.ndarray:
-    """The composed machine over the words of one text that are not plain."""
-    total, gathered = np.zeros(len(CHANNELS)), np.zeros(len(CHANNELS))
-    at_clause, targeted, reported, negated_to, threat_open, open_plain = -1, False, False, -1, 0, 0.0
-    for j in np.flatnonzero((weight > 0) | (kind > 0)):
-        if clause[j] != at_clause:
-            gathered[1] += open_plain
-            total += np.log1p(gathered)
-            gathered[:] = 0
-            at_clause, targeted, reported, negated_to, threat_open, open_plain = clause[j], False, False, -1, 0, 0.0
-        k, x = kind[j], weight[j]
-        if k == _TARGET:
-            targeted = True
-            gathered[0] += open_plain
-            gathered[4] += threat_open
-            open_plain, threat_open = 0.0, 0
-        elif k == _NEGATION:
-            negated_to = j + NEGATION_REACH
-        elif k == _REPORT:
-            reported = True
-        elif k == _THREAT and j > negated_to and not reported:
-            if targeted:
-                gathered[4] += 1
-            else:
-                threat_open += 1
-        if x > 0:
-            if j <= negated_to:
-                gathered[2] += x
-            elif reported:
-                gathered[3] += x
-            elif targeted:
-                gathered[0] += x
-            else:
-                open_plain += x
-    gathered[1] += open_plain
-    return total + np.log1p(gathered)
-
-
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic weights, bias last, by Newton steps with a small ridge; none below 0 but the bias."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -272,7 +380,7 @@ class Model:
     def __init__(self, hashes, weights, logistic):
         known = _known()
         self.insults = _Lookup(hashes, weights)
-        self.known = _Lookup(np.array(list(known), np.uint64), np.array(list(known.values()), np.int8))
+        self.known = _Lookup(np.array(list(known), np.uint64), np.array(list(known.values()), np.int16))
         self.logistic = logistic
 
     def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -304,33 +412,41 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(hashes, weights, _fit(x, y))
 
 
-def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
-    """doc_id (or the columns of ``carry``) with score and the five channels."""
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id with score and the five channels."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most stems-of-a-text / SUPPORT_SHARE stems
-    carry = carry or ["doc_id"]
-    source = docs.select(F.col("text").alias("__text"), *carry)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:]) + ", score double, channels array<double>"
 
     def run(batches):
         for batch in batches:
-            s, x = shared.value.scores(_lowered(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(s, pa.float64()), pa.array(x.tolist(), pa.list_(pa.float64()))], [*batch.schema.names[1:], "score", "channels"])
+            s, x = shared.value.scores(_lowered(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "score", "channels"])
 
-    return source.mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, channels array<double>")
 
 
 def op8(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
     out = score(docs, model)
-    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "channels")
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "channels")
 
 
 def reject_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's stage: documents of score 0.5 or more go."""
+    """The pipeline's stage: rows of score 0.5 or more go, each judged by its own text.
+
+    The rows pass through as they are, so nulls, repeated rows, empty and very long texts and
+    columns of any name stay what they were; a null or empty text stays, unless PRIOR is 0.5.
+    """
     model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
-    columns = docs.columns
-    return score(docs, model, columns).where(F.col("score") < 0.5).select(*columns)
+    shared, place = spark.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def keep(batches):
+        for batch in batches:
+            clean = shared.value.scores(_lowered(batch.column(place)))[0] < 0.5
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 QUERIES = {"op8_toxic_clauses": op8}
