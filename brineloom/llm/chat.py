@@ -8,7 +8,9 @@ Template of a conversation, turn after turn::
 rendered turn is parsed again, and only if the recovered turn differs from the source (a text
 that holds a control string, say) it is escaped and its turn marked ``<|esc|>``.  Escaping puts
 ``\`` before each ``\`` and before each ``|`` that follows ``<``; reading removes it again.
-Roles, which have one line and no mark of their own, are always escaped, line feeds as ``\n``.
+Roles, which have one line and no mark of their own, are always escaped: ``\`` as ``\b``, the ``|``
+of ``<|`` as ``\p``, a line feed as ``\n``; a backslash of the output then always begins such a pair,
+whatever characters (NUL among them) a role holds.
 
 Defined results: null text or role: empty; rows of a null conv_id: one conversation; turns of
 the same number: by role, then text; null turn numbers first; repeated rows: repeated turns; an
@@ -36,12 +38,12 @@ def unescape(c: Column) -> Column:
 
 
 def escape_role(c: Column) -> Column:
-    return F.replace(escape(c), F.lit("\n"), F.lit("\\n"))
+    return F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\b")), F.lit("<|"), F.lit("<\\p")), F.lit("\n"), F.lit("\\n"))
 
 
 def unescape_role(c: Column) -> Column:
-    marked = F.replace(F.replace(c, F.lit("\\\\"), F.lit("\x00")), F.lit("\\n"), F.lit("\n"))
-    return F.replace(F.replace(marked, F.lit("\\|"), F.lit("|")), F.lit("\x00"), F.lit("\\"))
+    # Backslashes come back last, so no replacement sees one that is not an escape.
+    return F.replace(F.replace(F.replace(c, F.lit("\\n"), F.lit("\n")), F.lit("\\p"), F.lit("|")), F.lit("\\b"), F.lit("\\"))
 
 
 def render_turn(role: Column, text: Column, escaped: bool) -> Column:
@@ -83,8 +85,6 @@ def format_chat(conversations: DataFrame) -> DataFrame:
     text under the loss as it stands there; length 0 for turns that are not the assistant's.
     """
     rows = conversations.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # Roles with a NUL would clash with the marker that unescape_role uses.
-    rows = rows.withColumn("role", F.replace("role", F.lit("\x00"), F.lit("\ufffd")))
     plain, safe = render_turn(F.col("role"), F.col("text"), False), render_turn(F.col("role"), F.col("text"), True)
     rows = rows.withColumn("plain", plain).withColumn("fits", ~F.col("text").contains("<|") & _recovered(F.col("plain"), F.col("role"), F.col("text")))
     rows = rows.withColumn("rendered", F.when(F.col("fits"), F.col("plain")).otherwise(safe)).drop("plain", "fits")
