@@ -1,20 +1,22 @@
 """Language identification as mixture inference over word likelihoods.
 
 Training: byte trigrams inside lower-cased words (a space on either side) are counted by
-language over every training text; hashed to 2**16 cells, so a language's table has one size
-whatever the corpus.  Inference: each word of a document has a likelihood under each language,
+language over every training text; hashed to CELLS cells (fewer with very many languages), so the
+tables have one size whatever the corpus.  Inference: each word of a document has a likelihood under each language,
 the product of its trigrams'; expectation-maximisation finds the proportions with which the
 languages make the document's words, and the number of languages is chosen by the likelihood
 less a penalty of half the logarithm of the number of words for each language.
 
 Defined results: null text or a text without a letter: ``und`` with score 0; very long texts
 are read whole; repeated rows give repeated results; rows of a null lang or doc_id take no part
-in training (a null doc_id has no fold) but are predicted; ties go to the first language in
-order; an empty training set: every text ``und``; other columns are ignored.
+in training (a null doc_id has no fold, and is not held out) but are predicted; ties go to the first language in
+order; an empty training set: every text ``und``; an empty table: no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,11 +25,10 @@ from pyspark.sql import functions as F
 
 from brineloom.llm import words as W
 
-CELLS = 1 << 16
+#: Cells of a language's table, and of all tables together: with over TABLE / CELLS languages each has less.
+CELLS, TABLE = 1 << 16, 1 << 24
 #: Each language's table is summed in so many parts, by as many tasks.
 PARTS = 16
-#: The model is kept in memory: CELLS * 4 bytes for each language.
-MAX_LANGUAGES = 256
 SMOOTHING = 0.5
 ROUNDS = 8
 UNDETERMINED = "und"
@@ -43,7 +44,14 @@ def _lowered(texts: pa.Array) -> pa.Array:
     return W.text_array(pc.utf8_lower(texts))
 
 
-def _trigrams(c: W.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cells_of(n_languages: int) -> int:
+    cells = CELLS
+    while cells > PARTS and cells * n_languages > TABLE:
+        cells >>= 1
+    return cells
+
+
+def _trigrams(c: W.Chunk, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cells of all letters' trigrams, where each word begins in them, and each text's first word."""
     w = W.split(c, c.data, W.LETTERS)
     # U+00A0..U+00BF (signs, no letters but two) are C2 xx in UTF-8: spaces here.
@@ -63,45 +71,52 @@ def _trigrams(c: W.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     after[:-1] = b[1:]
     after[at + size - 1] = _SPACE
     code = (before << 16) | (b << 8) | after
-    return ((code * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.int64), at, w.ptr
+    return ((code * np.uint32(0x9E3779B1)) >> np.uint32(33 - cells.bit_length())).astype(np.int64), at, w.ptr
 
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages in order, float32 log probabilities [CELLS, languages]) from text and lang."""
+    """(languages in order, float32 log probabilities [cells, languages]) from text and lang.
+
+    What tasks have counted is added in two steps, first by groups of about as many tasks as there
+    are groups, so that no group gathers a table from every task.
+    """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
+    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    cells = cells_of(len(langs))
+    step = cells // PARTS
+    groups = max(1, math.isqrt(rows.rdd.getNumPartitions()))
 
     def count(batches):
+        from pyspark import TaskContext
+
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             codes = batch.column(0).dictionary_encode()
             names = codes.dictionary.to_pylist()
             code = codes.indices.to_numpy(zero_copy_only=False)
             for c in W.chunks(_lowered(batch.column(1))):
-                cells, at, ptr = _trigrams(c)
-                first = np.append(at, len(cells))[ptr]
+                found, at, ptr = _trigrams(c, cells)
+                first = np.append(at, len(found))[ptr]
                 of = np.repeat(code[c.lo : c.hi], np.diff(first))
                 for k in np.unique(of):
-                    n = np.bincount(cells[of == k], minlength=CELLS)
+                    n = np.bincount(found[of == k], minlength=cells)
                     sums[names[k]] = sums[names[k]] + n if names[k] in sums else n
-            if len(sums) > MAX_LANGUAGES:
-                raise ValueError(f"over {MAX_LANGUAGES} languages")
-        step = CELLS // PARTS
-        out = [(name, part, W.pack_ints(n[part * step : (part + 1) * step])) for name, n in sums.items() for part in range(PARTS)]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.binary()))], ["lang", "part", "n"])
+        group = TaskContext.get().partitionId() % groups
+        for name, n in sums.items():
+            packed = [W.pack_ints(n[part * step : (part + 1) * step]) for part in range(PARTS)]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * PARTS), pa.array(range(PARTS), pa.int32()), pa.array([group] * PARTS, pa.int32()), pa.array(packed, pa.binary())], ["lang", "part", "group", "n"])
 
     def add(key, table):
         total = sum(W.unpack_ints(x.as_py()) for x in table.column("n"))
         return pa.table({"lang": [key[0].as_py()], "part": pa.array([key[1].as_py()], pa.int32()), "n": [W.pack_ints(total)]})
 
-    counted = rows.mapInArrow(count, "lang string, part int, n binary").groupBy("lang", "part").applyInArrow(add, "lang string, part int, n binary").collect()
-    langs = sorted({r["lang"] for r in counted})
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
-    table = np.zeros((CELLS, len(langs)))
-    step = CELLS // PARTS
-    for r in counted:
-        table[r["part"] * step : (r["part"] + 1) * step, langs.index(r["lang"])] = W.unpack_ints(r["n"])
+    counted = rows.mapInArrow(count, "lang string, part int, group int, n binary")
+    for keys in (("lang", "part", "group"), ("lang", "part"))[groups == 1 :]:
+        counted = counted.groupBy(*keys).applyInArrow(add, "lang string, part int, n binary")
+    table = np.zeros((cells, len(langs)))
+    number = {lang: i for i, lang in enumerate(langs)}
+    for r in counted.collect():  # TABLE counts at most
+        table[r["part"] * step : (r["part"] + 1) * step, number[r["lang"]]] = W.unpack_ints(r["n"])
     seen = max(1, int((table.sum(1) > 0).sum()))
     table = np.log((table + SMOOTHING) / (table.sum(0) + SMOOTHING * seen))
     return langs, table.astype(np.float32)
@@ -153,7 +168,7 @@ def has_letter(text: str) -> bool:
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """docs' doc_id with (lang_pred, score, langs, shares): the chosen set, largest share first."""
     langs, table = model
-    shared = docs.sparkSession.sparkContext.broadcast(table)  # at most MAX_LANGUAGES tables
+    shared = docs.sparkSession.sparkContext.broadcast(table)  # at most TABLE values, or PARTS for each of more languages
     schema = "doc_id long, lang_pred string, score double, langs array<string>, shares array<double>"
 
     def predict(batches):
@@ -163,7 +178,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
             low = _lowered(batch.column(1))
             pred, score, sets, shares = [], [], [], []
             for c in W.chunks(low):
-                cells, at, ptr = _trigrams(c)
+                cells, at, ptr = _trigrams(c, len(table))
                 n_words = np.diff(ptr)
                 if len(at) and langs:
                     like = np.add.reduceat(table[cells], at, axis=0)
@@ -191,7 +206,7 @@ def op10(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = train(docs.where(fold(F.col("doc_id"), 4) != 2))
     out = identify(docs, model)
-    return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "langs", "shares")
+    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "langs", "shares")
 
 
 QUERIES = {"op10_language_mixture": op10}

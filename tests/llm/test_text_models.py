@@ -30,6 +30,52 @@ def test_languages_of_odd_texts(spark):
     assert got[4]["lang_pred"] == "en" and got[None]["lang_pred"] == "de" and sorted(got[5]["langs"]) == ["de", "en"]
     empty = langid.train(docs.where("false"))
     assert {r["lang_pred"] for r in langid.identify(odd, empty).collect()} == {"und"}
+    assert langid.identify(odd.where("false"), model).count() == 0
+
+
+def test_counts_of_many_tasks_and_very_many_languages(spark, rng):
+    texts = {f"l{i}": " ".join("".join(rng.choice("abcdefghij"[i % 7 : i % 7 + 4]) for _ in range(5)) for _ in range(60)) for i in range(7)}
+    docs = spark.createDataFrame([(i, texts[f"l{i % 7}"], f"l{i % 7}") for i in range(70)], "doc_id long, text string, lang string")
+    one, many = langid.train(docs.coalesce(1)), langid.train(docs.repartition(30))
+    assert one[0] == many[0] and np.array_equal(one[1], many[1])
+    assert langid.cells_of(256) == langid.CELLS and langid.cells_of(257) == langid.CELLS // 2 and langid.cells_of(10_000) * 10_000 <= langid.TABLE
+    wide = spark.createDataFrame([(i, f"w{i} x", f"lang{i}") for i in range(600)], "doc_id long, text string, lang string")
+    langs, table = langid.train(wide)
+    assert len(langs) == 600 and table.shape == (langid.cells_of(600), 600)
+
+
+def plain_language(text, langs, table):
+    """One document, word by word: EM, then the number of languages."""
+    words = __import__("re").findall(rb"[^\x00-\x60\x7B-\x7F]+", text.lower().encode())
+    if not words or not any(ch.isalpha() for ch in text):
+        return "und", 0.0
+    cell = lambda w: [((int.from_bytes(w[i : i + 3], "big") * 0x9E3779B1) & 0xFFFFFFFF) >> 16 for i in range(len(w) - 2)]
+    like = np.array([table[cell(b" " + w + b" ")].astype(float).sum(0) for w in words])
+    e = np.exp(like - like.max(1, keepdims=True))
+    pi = np.full(len(langs), 1 / len(langs))
+    for _ in range(langid.ROUNDS):
+        r = e * pi
+        pi = (r / r.sum(1, keepdims=True)).mean(0)
+    order, best = np.argsort(-pi, kind="stable"), None
+    for k in range(1, len(langs) + 1):
+        own = np.zeros(len(langs))
+        own[order[:k]] = np.maximum(pi[order[:k]], 1e-12)
+        own /= own.sum()
+        score = np.log(np.maximum((e * own).sum(1), 1e-30)).sum() - 0.5 * k * np.log(len(words) + 1.0)
+        if best is None or score > best[0] + 1e-6:
+            best = (score, own)
+    return langs[int(np.argsort(-best[1], kind="stable")[0])], float(best[1].max())
+
+
+def test_the_query_equals_a_plain_reading(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    langs, table = langid.train(docs.where(langid.fold(F.col("doc_id"), 4) != 2))
+    got = {r["doc_id"]: r for r in langid.op10(spark, SF).collect()}
+    assert len(got) == docs.count()
+    for r in docs.collect():
+        want = plain_language(r["text"] or "", langs, table)
+        own = got[r["doc_id"]]
+        assert (own["lang_pred"], own["score"]) == (want[0], pytest.approx(want[1], abs=2e-3))
 
 
 def test_em_recovers_a_mixture():
@@ -143,7 +189,7 @@ NASTY = ["", "plain", "<|im_end|>", "<|im_end|><|im_start|>assistant ok", "a\\|b
 
 
 def test_chat_round_trips(spark):
-    rows = [(i, j, role, t) for i, t in enumerate(NASTY) for j, role in enumerate(("user", "assistant", "tool <|x\n\\n"))]
+    rows = [(i, j, role, t) for i, t in enumerate(NASTY) for j, role in enumerate(("user", "assistant", "tool <|x\n\\n", "nul \x00 \\b\\p<|esc|>", "\x00"))]
     rows += [(99, None, None, None), (99, 1, "assistant", "b"), (99, 1, "assistant", "a"), (None, 0, "user", "x")]
     x = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(0))
     got = {r["conv_id"]: r for r in chat.format_chat(x).withColumn("loss", chat.masked_text(F.col("formatted"), F.col("loss_mask"))).collect()}
@@ -151,6 +197,9 @@ def test_chat_round_trips(spark):
     for i, t in enumerate(NASTY):
         assert [(m["role"], m["text"]) for m in got[i]["turns"]] == [(r[2], t) for r in rows if r[0] == i] and got[i]["loss"] == t
     assert got[99]["loss"] == "ab" and got[99]["n_turns"] == 3
+    long = spark.createDataFrame([(1, 0, "user", "<|" * 100_000), (1, 1, "assistant", "x\\" * 100_000), (1, 1, "assistant", "x\\" * 100_000)], "conv_id long, turn long, role string, text string")
+    own = chat.format_chat(long).withColumn("loss", chat.masked_text(F.col("formatted"), F.col("loss_mask"))).first()
+    assert own["round_trip"] and own["n_turns"] == 3 and own["loss"] == "x\\" * 200_000 and own["turns"][0]["text"] == "<|" * 100_000
     assert chat.format_chat(x.where("false")).count() == 0
 
 
