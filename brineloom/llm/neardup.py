@@ -20,7 +20,9 @@ the number of k-mers in either text.  The multiset overlap bounds it from above;
 bounds it from below; if neither decides, the alignment runs in the band outside of which no
 alignment can reach the threshold, which is exact.
 
-Classes are the connected components of the verified links, named by their least doc_id.
+Classes are the connected components of the verified links, named by their least doc_id.  It is
+texts that are compared and not doc_ids: rows that repeat a doc_id with other texts are found each
+by its own text, and may be of different classes.
 
 Defined results: words are lower-cased runs of ASCII letters, digits and non-ASCII characters;
 null or wordless texts are alone in their class; texts of fewer than SHINGLE words match exact
@@ -42,7 +44,7 @@ from brineloom.llm.shared import materialize
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, TUPLE = 24, 4
 #: Sets of ids up to this number are broadcast; larger ones are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 1_000_000
 #: Words of a block of texts (a long text is a block of its own), and what a text counts besides its words.
 BLOCK_WORDS, TEXT_WORDS = 1 << 20, 64
 _U = np.uint64
@@ -82,8 +84,14 @@ def _smallest(v: np.ndarray, row: np.ndarray, n: np.ndarray, limit: np.ndarray)
     return np.sort(order[nth < TUPLE])
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, h)."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, x1, x2, bands): a 128-bit key of the words, and the ordered sketches."""
+    """(doc_id, h, n_words, x1, x2, bands): a hash of the text, a 128-bit key of its words, and the ordered sketches."""
 
     def run(batches):
         odd, q = W.stream(31, SKETCHES) | _U(1), W.stream(32, TUPLE) | _U(1)
@@ -124,12 +132,11 @@ def sketch(docs: DataFrame) -> DataFrame:
             has = np.concatenate(n_words) >= SHINGLE
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(has * SKETCHES)), pa.int32()), pa.array(every[has].ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.concatenate(n_words), pa.int64()), pa.array(np.concatenate(x1).view(np.int64)), pa.array(np.concatenate(x2).view(np.int64)), lists],
-                ["doc_id", "n_words", "x1", "x2", "bands"],
+                [batch.column(0), batch.column(2), pa.array(np.concatenate(n_words), pa.int64()), pa.array(np.concatenate(x1).view(np.int64)), pa.array(np.concatenate(x2).view(np.int64)), lists],
+                ["doc_id", "h", "n_words", "x1", "x2", "bands"],
             )
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_words long, x1 long, x2 long, bands array<long>")
+    return _rows(docs).where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id long, h long, n_words long, x1 long, x2 long, bands array<long>")
 
 
 def _aligned(a: list[np.ndarray], b: list[np.ndarray], width: int) -> np.ndarray:
@@ -190,8 +197,8 @@ def similarities(left: list[np.ndarray], right: list[np.ndarray], threshold: flo
     return out
 
 
-def _sequences(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, seq): 32-bit word hashes of the texts of the given ids."""
+def _sequences(docs: DataFrame, texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, seq): 32-bit word hashes of the given texts, each read from the row that texts names."""
 
     def run(batches):
         for batch in batches:
@@ -202,11 +209,10 @@ def _sequences(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 out += [short[a:b].tobytes() for a, b in zip(w.ptr[:-1], w.ptr[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "seq"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own = ids.select(F.col("id").alias("doc_id"))
     small = ids.count() <= BROADCAST_IDS
-    rows = rows.join(F.broadcast(own) if small else own, "doc_id", "left_semi")
-    return rows.mapInArrow(run, "id long, seq binary")
+    own = texts.select("id", "doc_id", "h").join(F.broadcast(ids) if small else ids, "id", "left_semi")
+    rows = _rows(docs).join(F.broadcast(own) if small else own, ["doc_id", "h"]).select("id", "text")
+    return rows.mapInArrow(run, "id long, seq binary").dropDuplicates(["id"])
 
 
 def _verify(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
@@ -334,7 +340,7 @@ def _between_classes(docs, texts, banded, pivots, labels, seqs, threshold: float
     tasks = materialize(tasks.withColumn("task", F.monotonically_increasing_id()), "blocks", light=True)
     missing = members.select("id").distinct().join(seqs.select("id"), "id", "left_anti")
     if missing.limit(1).count():
-        seqs = seqs.unionByName(materialize(_sequences(docs, missing).dropDuplicates(["id"]), "sequences"))
+        seqs = seqs.unionByName(materialize(_sequences(docs, texts, missing), "sequences"))
     members = members.join(grid, ["key", "c", "minor"]).withColumn("g", F.pmod(F.xxhash64("id"), F.col("n"))).select("key", "c", "minor", "g", "id", "label")
     sides = [
         members.where("minor").drop("minor").join(tasks.select("key", F.col("cx").alias("c"), F.col("gx").alias("g"), "task", "own"), ["key", "c", "g"]).withColumn("right", F.lit(False)),
@@ -342,7 +348,7 @@ def _between_classes(docs, texts, banded, pivots, labels, seqs, threshold: float
     ]
     columns = ["task", "key", "own", "right", "id", "label"]
     rows = sides[0].select(*columns).unionByName(sides[1].select(*columns))
-    rows = rows.join(texts.select(F.col("doc_id").alias("id"), "bands"), "id").join(seqs, "id").select(*columns, "bands", "seq")
+    rows = rows.join(texts.select("id", "bands"), "id").join(seqs, "id").select(*columns, "bands", "seq")
 
     def run(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
@@ -354,26 +360,31 @@ def _between_classes(docs, texts, banded, pivots, labels, seqs, threshold: float
     return materialize(rows.groupBy("task").applyInArrow(run, "a long, b long").distinct(), "links")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id) of each row: the least doc_id of its class; a null doc_id: null."""
+def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """(doc_id, h, label, class_id) of each row that has a doc_id.
+
+    h: the hash of its text; label: tells classes apart (null without words); class_id: the least
+    doc_id of the class, which classes share if texts of one doc_id are in several.
+    """
     sk = materialize(sketch(docs), "sketches")
-    copies = sk.where("n_words > 0").groupBy("x1", "x2").agg(F.min("doc_id").alias("rep"))
-    copies = materialize(copies, "copies", light=True)
+    first = sk.where("n_words > 0").groupBy("x1", "x2").agg(F.min("doc_id").alias("rep"))
+    # A text's id is a number of its own, as doc_ids may repeat.
+    copies = materialize(first.withColumn("id", F.monotonically_increasing_id()), "copies", light=True)
     # One row of each distinct text.
-    texts = sk.join(copies.select(F.col("rep").alias("doc_id"), F.col("x1").alias("k1"), F.col("x2").alias("k2")), "doc_id").where("x1 = k1 and x2 = k2").select("doc_id", "n_words", "bands").dropDuplicates(["doc_id"])
+    texts = sk.join(copies.withColumnRenamed("rep", "doc_id"), ["doc_id", "x1", "x2"]).select("id", "doc_id", "h", "n_words", "bands").dropDuplicates(["id"])
     texts = materialize(texts, "texts")
-    banded = texts.where(F.size("bands") > 0).select(F.col("doc_id").alias("id"), "n_words", F.explode("bands").alias("key"))
+    banded = texts.where(F.size("bands") > 0).select("id", "n_words", F.explode("bands").alias("key"))
     h = F.xxhash64("id")
     pivots = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("p0"), F.max("id").alias("p1"), F.min_by("id", h).alias("p2"), F.max_by("id", h).alias("p3")).where("n > 1")
     pivots = materialize(pivots.drop("n"), "pivots", light=True)
     shared = banded.join(pivots, "key")
     found = shared.select("id", F.explode(F.array_distinct(F.array("p0", "p1", "p2", "p3"))).alias("pivot")).where("id <> pivot")
     pairs = found.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).groupBy("a", "b").agg(F.count("*").alias("weight"))
-    size = texts.select(F.col("doc_id").alias("id"), F.greatest(F.col("n_words") - (SHINGLE - 1), F.lit(1)).alias("size"))
+    size = texts.select("id", F.greatest(F.col("n_words") - (SHINGLE - 1), F.lit(1)).alias("size"))
     pairs = pairs.join(size.withColumnsRenamed({"id": "a", "size": "size_a"}), "a").join(size.withColumnsRenamed({"id": "b", "size": "size_b"}), "b")
     pairs = pairs.where(F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b")).select("a", "b", "weight")
     pairs = materialize(pairs, "pairs", light=True)
-    seqs = materialize(_sequences(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()).dropDuplicates(["id"]), "sequences")
+    seqs = materialize(_sequences(docs, texts, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), "sequences")
     # First each text with the pivot that it shares most sketches with, then what is still open.
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("weight", -F.col("b"))).alias("b"))
     links = materialize(_verify(best, seqs, threshold).select("a", "b"), "links")
@@ -384,11 +395,18 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     got = _between_classes(docs, texts, banded, pivots, labels, seqs, threshold)
     if got is not None:
         labels = components(links.unionByName(got))
-    named = materialize(_labelled(copies.withColumnRenamed("rep", "id"), "id", labels, "class_id").select("x1", "x2", "class_id"), "named", light=True)
-    known = sk.where("n_words > 0").select("doc_id", "x1", "x2").join(named, ["x1", "x2"]).select("doc_id", "class_id")
-    alone = sk.where("n_words = 0").select("doc_id", F.col("doc_id").alias("class_id"))
+    named = labels.join(copies.select("id", "rep"), "id").groupBy("label").agg(F.min("rep").alias("least"))
+    named = labels.join(materialize(named, "named", light=True), "label")
+    named = copies.join(named, "id", "left").select("x1", "x2", F.coalesce("label", "id").alias("label"), F.coalesce("least", "rep").alias("class_id"))
+    named = materialize(named, "named", light=True)
+    known = sk.where("n_words > 0").select("doc_id", "h", "x1", "x2").join(named, ["x1", "x2"]).select("doc_id", "h", "label", "class_id")
+    return known.unionByName(sk.where("n_words = 0").select("doc_id", "h", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("class_id")))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """(doc_id, class_id) of each row: the least doc_id of its class; a null doc_id: null."""
     null = docs.where(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))
-    return known.unionByName(alone).unionByName(null)
+    return classes(docs, threshold).select("doc_id", "class_id").unionByName(null)
 
 
 def op1(spark, sf_dir):
@@ -398,18 +416,24 @@ def op1(spark, sf_dir):
 def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: of each class the document of the least doc_id stays.
 
-    Rows that repeat a doc_id count as one document (one of them stays); rows of a null doc_id
-    stay.
+    Of several texts of a class under that doc_id the one of the least hash stays, and of rows
+    equal in doc_id and text one.  Null and wordless texts are in no class and stay; rows of a
+    null doc_id stay.  An empty table stays empty; other columns, of any name but __d and __h, are
+    kept.
     """
-    classes = materialize(near_duplicates(docs), "classes", light=True)
-    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    again = materialize(classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again", light=True)
-    small = gone.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
-    if again.limit(1).count():
-        twice = kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-        kept = kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(twice)
-    return kept
+    found = materialize(classes(docs), "classes", light=True)
+    best = found.where("label is not null").groupBy("label").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h")).alias("best")).where("n > 1")
+    gone = found.join(best, "label").where("doc_id <> best.doc_id or h <> best.h").select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct()
+    gone = materialize(gone, "gone", light=True)
+    again = found.groupBy(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).count().where("count > 1").select("__d", "__h")
+    again = materialize(again, "again", light=True)
+    columns, key = docs.columns, ["__d", "__h"]
+    keyed = docs.withColumns({"__d": F.col("doc_id").cast("long"), "__h": F.xxhash64(F.col("text").cast("string"))})
+    kept = keyed.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, key, "left_anti")
+    if n := again.count():
+        again = F.broadcast(again) if n <= BROADCAST_IDS else again
+        kept = kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates(key))
+    return kept.select(*columns)
 
 
 QUERIES = {"op1_order_minhash": op1}
