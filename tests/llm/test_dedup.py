@@ -1,5 +1,6 @@
 """Near duplicates, repeated passages and benchmark passages against brute force."""
 
+import collections
 import hashlib
 import re
 
@@ -72,23 +73,69 @@ def brute_hits(docs, items):
     return out
 
 
-def test_decontamination_equals_brute_force(spark, corpus, prose):
+def test_decontamination_equals_brute_force(spark, corpus, prose, monkeypatch):
     items = [(1, prose(30)), (2, "Short item!"), (3, ""), (4, None), (10, prose(13)), (None, prose(20))]
     docs = [*corpus, (200, prose(5) + " " + items[0][1].upper() + " " + prose(5)), (201, "a short ITEM and more"), (202, items[4][1] + " " + items[0][1]), (203, " ".join(items[0][1].split()[3:20]))]
     x = spark.createDataFrame(docs, "doc_id long, text string").withColumn("items", F.lit("clash"))
     b = spark.createDataFrame(items, "item_id long, text string")
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontam.decontaminate(x, b).collect()}
     assert got == brute_hits(docs, [i for i in items if i[0] is not None])
-    full = decontam.search(decontam.build_index(x), decontam.item_phrases(b), {r["term"]: r["n"] for r in decontam.term_counts(decontam.build_index(x)).collect()})
+    monkeypatch.setattr(decontam, "PHRASE_BLOCK", 7)  # several blocks, and an index of all terms
+    monkeypatch.setattr(decontam, "VOCABULARY", 0)
+    full = decontam.decontaminate(x, b)
     assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in full.collect()} == got
 
 
+def brute_near(docs, items):
+    """doc_id to the items near it: from one of the rarest words, all but the allowed misses within SLOP of their places."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    split = {d: words(t) for d, t in docs}
+    n = collections.Counter(w for own in split.values() for w in own)
+    out = {d: set() for d in split}
+    for i, text in items:
+        v = words(text)
+        k = min(13, len(v))
+        for j in range(len(v) - k + 1 if k else 0):
+            phrase = v[j : j + k]
+            misses = k * decontam.NEAR_MISSES // 13
+            rarest = sorted(range(k), key=lambda x: (n[phrase[x]], x))[: misses + 1]
+            for d, w in split.items():
+                for a in rarest:
+                    for at in [x for x, y in enumerate(w) if y == phrase[a]]:
+                        start = at - a
+                        lacks = sum(phrase[x] not in w[max(0, start + x - decontam.SLOP) : max(0, start + x + decontam.SLOP + 1)] for x in range(k) if x != a)
+                        if lacks <= misses:
+                            out[d].add(str(i))
+    return out
+
+
+def test_proximity_equals_brute_force(spark, prose, rng):
+    items = [(i, prose(rng.choice((4, 9, 13, 20)))) for i in range(12)]
+    docs = [(1000, prose(300)), (1001, "")]
+    for i, t in items:
+        w = t.split()
+        for j in range(6):
+            u = list(w)
+            for _ in range(j // 2):
+                u[rng.randrange(len(u))] = rng.choice(["unknown", "zzz", rng.choice(w)])
+            if j % 2:
+                u.insert(rng.randrange(len(u)), "more")
+            docs.append((10 * i + j, prose(rng.randint(0, 6)) + " " + " ".join(u) + " " + prose(rng.randint(0, 6))))
+    x = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: set(r["near_items"]) for r in decontam.decontaminate(x.repartition(3), b).collect()}
+    want = brute_near(docs, items)
+    assert got == want and sum(map(len, got.values())) > 30
+
+
 def test_proximity_finds_a_changed_passage(spark, prose):
     t = prose(13).split()
     near = [*t[:6], "zzz", *t[6:]]
-    x = spark.createDataFrame([(1, " ".join(near)), (2, prose(50))], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in decontam.decontaminate(x, spark.createDataFrame([(5, " ".join(t))], "item_id long, text string")).collect()}
-    assert got[1]["n_hit"] == 0 and got[1]["near_items"] == ["5"] and got[2]["near_items"] == []
+    other = [*t[:4], "neverseen", *t[5:]]  # a word that stands nowhere else in the corpus
+    x = spark.createDataFrame([(1, " ".join(near)), (2, prose(50)), (3, " ".join(other))], "doc_id long, text string")
+    item = " ".join(t[:4]) + " " + t[4] + " " + " ".join(t[5:])
+    got = {r["doc_id"]: r for r in decontam.decontaminate(x, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()}
+    assert got[1]["n_hit"] == 0 and got[1]["near_items"] == ["5"] and got[2]["near_items"] == [] and got[3]["near_items"] == ["5"] and got[3]["n_hit"] == 0
 
 
 def test_decontamination_of_nothing(spark):
@@ -121,8 +168,7 @@ def test_a_term_missing_from_a_segment_is_no_wildcard(spark):
     bench = spark.createDataFrame([("long", " ".join(item)), ("short", "alpha beta")], "item_id string, text string")
     segments = decontam.build_index(first).union(decontam.build_index(second))
     assert segments.count() == 2
-    counts = {r["term"]: r["n"] for r in decontam.term_counts(segments).collect()}
-    out = decontam.search(segments, decontam.item_phrases(bench), counts).collect()
+    out = decontam.search(segments, decontam.item_phrases(bench)).collect()
     assert {r["doc_id"]: (r["n_hit"], r["items"]) for r in out if r["n_hit"] or r["items"]} == {6: (13, ["long"])}
 
 
