@@ -163,12 +163,14 @@ def _told(answers: pa.Table, step: int, d: Distinct, bits: int, buckets: int) ->
     return out
 
 
-def find_repeats(docs: DataFrame, carry=(), layout: Layout | None = None) -> DataFrame:
+def find_repeats(docs: DataFrame, carry=(), layout: Layout | None = None, whole: bool = False) -> DataFrame:
     """(doc_id, carry..., n_words, n_removed, spans, kept_text) of each row.
 
     spans: [from, to) in words of each maximal run to remove; kept_text: the words that stay,
-    joined by one space.
+    joined by one space; with ``whole`` a text of which nothing goes stays as it is.
     """
+    if clash := [c for c in carry if c in ("n_words", "n_removed", "spans", "kept_text", "__shard")]:
+        raise ValueError(f"rename before looking for repeats: {clash}")
     L = layout or Layout.of(docs)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     kept = [f for f in base.schema.fields[2:]]
@@ -225,6 +227,9 @@ def find_repeats(docs: DataFrame, carry=(), layout: Layout | None = None) -> Dat
             words, own = text.as_buffer().to_pybytes().split() if text.as_py() else [], gone[s.ptr[i] : s.ptr[i + 1]]
             n = int(own.sum())
             removed.append(n)
+            if whole and not n:
+                spans.append([]), texts.append(left.column("text")[i].as_py())
+                continue
             if n:
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], own, [False])).astype(np.int8)))
                 spans.append([{"from": int(a), "to": int(b)} for a, b in edge.reshape(-1, 2)])
@@ -253,15 +258,19 @@ def op5(spark, sf_dir):
 
 
 def remove_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's stage: repeated words go from the texts; texts without any stay as they are."""
-    columns = docs.columns
-    carry = [c for c in columns if c not in ("doc_id", "text", "n_chars")]
-    out = find_repeats(docs.withColumn("__whole", F.col("text")), [*carry, *(["n_chars"] if "n_chars" in columns else []), "__whole"])
-    text = F.when(F.col("n_removed") == 0, F.col("__whole")).otherwise(F.col("kept_text"))
-    out = out.withColumn("text", text)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*columns)
+    """The pipeline's stage: repeated words go from the texts; texts of which nothing goes stay as they are.
+
+    Every row stays, with its other columns, whatever their names; ``n_chars``, if there is one,
+    follows the text.  Nulls, empty and very long texts, repeated rows and an empty table are as in
+    ``find_repeats``.
+    """
+    others = {c: f"__c{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    held = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(name) for c, name in others.items()))
+    out = find_repeats(held, list(others.values()), whole=True)
+    back = {"doc_id": F.col("doc_id"), "text": F.col("kept_text")} | {c: F.col(name) for c, name in others.items()}
+    if "n_chars" in others:
+        back["n_chars"] = F.when(F.col("n_removed") == 0, back["n_chars"]).otherwise(F.length("kept_text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*(back[c].alias(c) for c in docs.columns))
 
 
 QUERIES = {"op5_substring_anchors": op5}

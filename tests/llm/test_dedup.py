@@ -250,3 +250,23 @@ def test_one_row_of_each_class_stays(spark, prose):
     x = spark.createDataFrame([(3, t, 1), (1, t, 2), (1, t, 2), (2, prose(40), 3), (None, t, 4)], "doc_id long, text string, n long")
     got = sorted((r["doc_id"] or -1, r["n"]) for r in neardup.one_of_each(spark, x, "").collect())
     assert got == [(-1, 4), (1, 2), (2, 3)]
+
+
+def test_repeats_stage_keeps_rows_and_columns(spark, corpus):
+    rows = [(d, t, len(t or ""), "s", 5, [1], "x") for d, t in corpus] + [(None, corpus[0][1], 7, "s", 5, [1], "x"), (3, corpus[3][1], 8, "s", 5, [1], "x")]
+    x = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, source string, n_words int, spans array<int>, kept_text string")
+    out = substrings.remove_repeats(spark, x, "")
+    assert out.columns == x.columns and out.schema["n_chars"].dataType == x.schema["n_chars"].dataType
+    want = brute_repeats(corpus)
+    got = out.collect()
+    assert len(got) == len(rows) and sum(r["doc_id"] == 3 for r in got) == 2
+    before = dict(corpus)
+    for r in got:
+        assert r["n_words"] == 5 and r["kept_text"] == "x"
+        if r["doc_id"] is None or not want[r["doc_id"]][1]:
+            assert r["text"] == (corpus[0][1] if r["doc_id"] is None else before[r["doc_id"]])
+        else:
+            assert hashlib.sha256(r["text"].encode()).hexdigest() == want[r["doc_id"]][2] and r["n_chars"] == len(r["text"])
+    assert substrings.remove_repeats(spark, x.where("false"), "").count() == 0
+    with pytest.raises(ValueError, match="spans"):
+        substrings.find_repeats(x, ["spans"])
