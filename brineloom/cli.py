@@ -32,6 +32,14 @@ def init(args) -> int:
     return 0
 
 
+def sensor_report(obs, least: int = 8):
+    """(sensor, days, enough, first, last): the acquisitions of each sensor, and whether they are enough."""
+    from pyspark.sql import functions as F
+
+    x = obs.groupBy("sensor").agg(F.count_distinct("day").alias("days"), F.min("day").alias("first"), F.max("day").alias("last"))
+    return x.withColumn("enough", F.col("days") >= least)
+
+
 def check(args) -> int:
     """Errors: a bad configuration, a sensor without acquisitions; few of them: a warning."""
     from brineloom.operators.filters import acquisitions

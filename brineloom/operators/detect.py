@@ -94,6 +94,21 @@ def ising(u: np.ndarray, valid: np.ndarray, beta: float = 1.5, sweeps: int = 8,
     return q
 
 
+def ising_scenes(cells: DataFrame, by: Sequence[str], u: str, beta: float = 1.5, sweeps: int = 8, damp: float = 0.5) -> DataFrame:
+    """(by..., row, col, q) of every cell (by..., row, col, u): each scene's grid is a group."""
+    by = list(by)
+    schema = ", ".join(f"`{c}` {cells.schema[c].dataType.simpleString()}" for c in by) + ", row int, col int, q double"
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = pdf["row"].to_numpy(int), pdf["col"].to_numpy(int)
+        grid, valid = np.zeros((i.max() + 1, j.max() + 1)), np.zeros((i.max() + 1, j.max() + 1), bool)
+        grid[i, j], valid[i, j] = pdf["u"], True
+        q = ising(grid, valid, beta, sweeps, damp)
+        return pd.DataFrame({**dict(zip(by, key, strict=True)), "row": i, "col": j, "q": q[i, j]})
+
+    return cells.select(*by, "row", "col", F.col(u).cast("double").alias("u")).groupBy(*by).applyInPandas(run, schema)
+
+
 @dataclass(frozen=True)
 class Mixture:
     prior_cloud: float = 0.1

@@ -28,6 +28,16 @@ def obs(spark, sf):
     return x.select("sensor", "day", "px", F.expr("px div 15").alias("row"), F.expr("px % 15").alias("col"), "value", "hour", "k", (F.col("px") % 10 != 0).alias("water"))
 
 
+def grid_rows(spark, sf) -> int:
+    """Height of the grid: a one-row aggregate."""
+    return (obs(spark, sf).agg(F.max("row")).first()[0] or 0) + 1
+
+
+def water_cells(spark, sf):
+    """One row (n_water): the water pixels of the record."""
+    return obs(spark, sf).where("water").agg(F.count_distinct("px").cast("double").alias("n_water"))
+
+
 def r6(c):
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from brineloom.functions import scalars as S
 from brineloom.operators import filters as X
-from brineloom.plans.base import BASE, day_text, events, obs, r6
+from brineloom.plans.base import BASE, day_text, events, obs, r6, water_cells
 from brineloom.sources.tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -112,14 +112,14 @@ def flt10(spark, sf):
 
 
 _GRID = """g as (select s.sensor, d.day, p.px, p.px % 10 <> 0 as water, o.value, case when o.k is not null and o.k % 5 <> 0 then (o.k > 80)::int end as cloud, case when o.k is not null then (o.k < 70)::int end as valid
-  from (select distinct sensor from obs) s, (select distinct day from obs) d, (select distinct px from obs where px < 60) p
+  from (select distinct sensor from obs) s, (select distinct day from obs) d, (select distinct px from obs) p
   left join obs o on o.sensor = s.sensor and o.day = d.day and o.px = p.px)"""
 
 
 def grid(spark, sf):
-    """Every member, day and pixel under 60; NULL where unobserved."""
+    """Every member, day and pixel; NULL where unobserved."""
     x = obs(spark, sf)
-    keys = x.select("sensor").distinct().crossJoin(x.select("day").distinct()).crossJoin(x.where("px < 60").select("px").distinct())  # the calendar grid
+    keys = x.select("sensor").distinct().crossJoin(x.select("day").distinct()).crossJoin(x.select("px").distinct())  # the calendar grid
     k = F.col("k")
     return keys.join(x.select("sensor", "day", "px", "value", "k"), ["sensor", "day", "px"], "left").select(
         "sensor", "day", "px", (F.col("px") % 10 != 0).alias("water"), "value", F.when(k.isNotNull() & (k % 5 != 0), (k > 80).cast("int")).alias("cloud"), F.when(k.isNotNull(), (k < 70).cast("int")).alias("valid")
@@ -168,12 +168,12 @@ def flt14(spark, sf):
     return _verdict(spark, sf).select("sensor", day_text().alias("day"), r6("center").alias("center"), word.alias("reason"))
 
 
-@query("flt15_masked_scenes", _VERDICT + """, p as (select sensor, day, count(*) filter (where water and k <= 80) as n_pass from obs group by sensor, day)
-  select p.sensor, cast(p.day as varchar) as day, n_pass, round(n_pass/135.0,6) as pixel_frac, case when reason = 'kept' and n_pass/135.0 >= 0.5 then n_pass else 0 end as n_kept,
-  case when reason = 'kept' and n_pass/135.0 >= 0.5 then 'KEPT' else 'DROPPED' end as verdict from p join v on p.sensor = v.sensor and p.day = v.day""")
+@query("flt15_masked_scenes", _VERDICT + """, p as (select sensor, day, count(*) filter (where water and k <= 80) as n_pass from obs group by sensor, day), w as (select count(distinct px) as nw from obs where water)
+  select p.sensor, cast(p.day as varchar) as day, n_pass, round(n_pass/nw,6) as pixel_frac, case when reason = 'kept' and n_pass/nw >= 0.3 then n_pass else 0 end as n_kept,
+  case when reason = 'kept' and n_pass/nw >= 0.3 then 'KEPT' else 'DROPPED' end as verdict from w cross join p join v on p.sensor = v.sensor and p.day = v.day""")
 def flt15(spark, sf):
     x = obs(spark, sf).withColumn("p_valid", F.when(F.col("water") & (F.col("k") <= 80), 1.0).otherwise(0.0))
-    out = X.keep_scenes(x, _verdict(spark, sf), 0.5, 135, 0.5)
+    out = X.keep_scenes(x, _verdict(spark, sf), 0.5, water_cells(spark, sf).first()[0], 0.3)
     return out.select("sensor", day_text().alias("day"), "n_pass", r6("pixel_frac").alias("pixel_frac"), "n_kept", "verdict")
 
 

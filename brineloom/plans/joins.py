@@ -10,7 +10,7 @@ from brineloom.operators import joins as J
 from brineloom.operators import stencil as G
 from brineloom.operators.stats import normal_equations, solve3
 from brineloom.functions import scalars as S
-from brineloom.plans.base import BASE, day_text, events, obs, r6
+from brineloom.plans.base import BASE, day_text, events, grid_rows, obs, r6
 from brineloom.sources.tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -120,19 +120,19 @@ def join07(spark, sf):
     return J.nearest_cell(p, c, 1.5).select("station", "px", r6("distance").alias("distance"))
 
 
-@query("join08_nearest_station", """q as (select s_suppkey as station, (s_acctbal + 1000)/1000 as x, (s_suppkey % 11) + 0.25 as y from supplier), p as (select px, cast(row as double) as x, cast(col as double) as y from (select distinct px, row, col from obs where px % 20 = 3)),
+@query("join08_nearest_station", """q as (select s_suppkey as station, (s_acctbal + 1000)/1000 as x, (s_suppkey % 11) + 0.25 as y from supplier), p as (select px, cast(row as double) as x, cast(col as double) as y from (select distinct px, row, col from obs)),
   d as (select p.px as site, station, sqrt((q.x-p.x)*(q.x-p.x)+(q.y-p.y)*(q.y-p.y)) as d from q, p), r as (select *, row_number() over (partition by site order by round(d,9), station) as k from d where d <= 4) select site, station, round(d,6) as distance from r where k = 1""")
 def join08(spark, sf):
     p, _ = _places(spark, sf)
-    sites = obs(spark, sf).where("px % 20 = 3").select(F.col("px").alias("site"), F.col("row").cast("double").alias("x"), F.col("col").cast("double").alias("y")).distinct()
+    sites = obs(spark, sf).select(F.col("px").alias("site"), F.col("row").cast("double").alias("x"), F.col("col").cast("double").alias("y")).distinct()
     out = J.nearest_cell(sites, p.withColumnRenamed("station", "px"), 4.0, "site")
     return out.select("site", F.col("px").alias("station"), r6("distance").alias("distance"))
 
 
-@query("join09_sample_products", "q as (select distinct px from obs where px % 25 = 2) select q.px, cast(o.day as varchar) as day, round(avg(o.value),6) as filled, round(0.5*avg(o.value) + 20,6) as smooth from q join obs o on o.px = q.px group by q.px, o.day")
+@query("join09_sample_products", "q as (select distinct px from obs) select q.px, cast(o.day as varchar) as day, round(avg(o.value),6) as filled, round(0.5*avg(o.value) + 20,6) as smooth from q join obs o on o.px = q.px group by q.px, o.day")
 def join09(spark, sf):
     o = obs(spark, sf)
-    s = o.where("px % 25 = 2").select("px").distinct()
+    s = o.select("px").distinct()
     return o.join(s, "px").groupBy("px", "day").agg(r6(F.avg("value")).alias("filled"), r6(F.avg("value") * 0.5 + 20).alias("smooth")).withColumn("day", day_text())
 
 
@@ -163,10 +163,10 @@ def join12(spark, sf):
     return q.join(a, ["sensor", "day"], "left").join(b, ["sensor", "day"], "left").na.fill("DROPPED", ["first", "second"]).select("sensor", day_text().alias("day"), "first", "second")
 
 
-@query("join13_seasonal_field", """q as (select l_suppkey as px, count(*) as n, avg(l_extendedprice/1000) as mean from lineitem where l_suppkey <= 20 group by 1), d as (select distinct day from obs)
+@query("join13_seasonal_field", """q as (select l_suppkey as px, count(*) as n, avg(l_extendedprice/1000) as mean from lineitem group by 1), d as (select distinct day from obs)
   select cast(day as varchar) as day, px, round(mean + 2*cos(2*pi()*(dayofyear(day)-1)/365.25) - 0.5*sin(2*pi()*(dayofyear(day)-1)/365.25),5) as seasonal from d, q""")
 def join13(spark, sf):
-    c = table(spark, sf, "lineitem").where("l_suppkey <= 20").groupBy(F.col("l_suppkey").alias("px")).agg(F.avg(F.col("l_extendedprice") / 1000).alias("mean"))
+    c = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("px")).agg(F.avg(F.col("l_extendedprice") / 1000).alias("mean"))
     out = J.seasonal_field(obs(spark, sf), c.withColumn("cos1", F.lit(2.0)).withColumn("sin1", F.lit(-0.5)), 365.25)
     return out.select(day_text().alias("day"), "px", F.round("seasonal", 5).alias("seasonal"))
 
@@ -210,11 +210,11 @@ def join18(spark, sf):
     return obs(spark, sf).join(F.broadcast(sites), "px").select(F.col("px").alias("site"), day_text().alias("day"), "sensor", r6("value").alias("kelvin"), r6(F.col("value") - 273.15).alias("celsius"))
 
 
-@query("src01_scan", """q as (select sensor, day from obs where day between date '2024-01-05' and date '2024-01-20' and water group by sensor, day having count(*) >= 90)
+@query("src01_scan", """q as (select sensor, day from obs where day between date '2024-01-05' and date '2024-01-20' and water group by sensor, day having count(*) >= 45)
   select o.sensor, cast(o.day as varchar) as day, count(*) as n, count(*) filter (where value < 5 or value > 300 or k > 80) as flagged from obs o join q on o.sensor=q.sensor and o.day=q.day where water group by 1, 2""")
 def src01(spark, sf):
     o = obs(spark, sf).where(F.col("day").between("2024-01-05", "2024-01-20") & F.col("water"))
-    o = o.join(X.acquisitions(o, 90), ["sensor", "day"], "left_semi")
+    o = o.join(X.acquisitions(o, 45), ["sensor", "day"], "left_semi")
     bad = (F.col("value") < 5) | (F.col("value") > 300) | (F.col("k") > 80)
     return o.groupBy("sensor", "day").agg(F.count("*").alias("n"), F.count_if(bad).alias("flagged")).withColumn("day", day_text())
 
@@ -245,9 +245,9 @@ def src14(spark, sf):
     return events(spark, sf).where(F.col("day").between("2024-01-10", "2024-01-12")).groupBy("day").agg(F.count("*").alias("n")).withColumn("day", day_text())
 
 
-@query("src15_acquisitions", "select sensor, cast(day as varchar) as day, count(*) as n_obs from obs where water group by sensor, day having count(*) >= 90")
+@query("src15_acquisitions", "select sensor, cast(day as varchar) as day, count(*) as n_obs from obs where water group by sensor, day having count(*) >= 45")
 def src15(spark, sf):
-    return X.acquisitions(obs(spark, sf).where("water"), 90).select("sensor", day_text().alias("day"), "n_obs")
+    return X.acquisitions(obs(spark, sf).where("water"), 45).select("sensor", day_text().alias("day"), "n_obs")
 
 
 @query("src16_nearest_date", """q as (select day from (select distinct day from obs where sensor = 'view' and day(day) % 2 = 0) order by abs(date_diff('day', date '2024-01-15', day)), day limit 1)
@@ -269,8 +269,10 @@ def src21(spark, sf):
 @query("snk11_cache_misses", "select sensor, cast(day as varchar) as day from obs where not (sensor = 'view' and day(day) < 10) group by sensor, day")
 def snk11(spark, sf):
     want = obs(spark, sf).select("sensor", "day", F.sha2(F.lit("k=3"), 256).alias("cfg")).distinct()
+    from brineloom.sources.sinks import wanted_not_cached
+
     have = want.where("sensor = 'view'").where(F.dayofmonth("day") < 10)
-    return want.join(have, ["sensor", "day", "cfg"], "left_anti").select("sensor", day_text().alias("day"))
+    return wanted_not_cached(want, have, ["sensor", "day", "cfg"]).select("sensor", day_text().alias("day"))
 
 
 @query("snk12_upsert", """q as (select sensor, day, count(*) as n from obs group by sensor, day), u as (select sensor, day, n*10 as n from q where day(day) % 4 = 0)
@@ -284,14 +286,17 @@ def snk12(spark, sf):
 
 @query("snk13_points_pivot", "select cast(day as varchar) as day, round(max(value) filter (where px = 7),6) as s7, round(max(value) filter (where px = 23),6) as s23 from (select day, px, avg(value) as value from obs where px in (7, 23) group by day, px) group by day")
 def snk13(spark, sf):
+    from brineloom.sources.sinks import wide_points
+
     x = obs(spark, sf).where("px in (7, 23)").groupBy("day", "px").agg(F.avg("value").alias("value"))
-    return x.groupBy("day").pivot("px", [7, 23]).agg(F.first("value")).select(day_text().alias("day"), r6("`7`").alias("s7"), r6("`23`").alias("s23"))
+    return wide_points(x, [7, 23], "value", site="px").select(day_text().alias("day"), r6("`7`").alias("s7"), r6("`23`").alias("s23"))
 
 
 @query("cli02_check", "select sensor, count(distinct day) as days, count(distinct day) >= 8 as enough, min(cast(day as varchar)) as first, max(cast(day as varchar)) as last from obs group by sensor")
 def cli02(spark, sf):
-    x = obs(spark, sf).groupBy("sensor").agg(F.count_distinct("day").alias("days"), F.min("day").alias("first"), F.max("day").alias("last"))
-    return x.select("sensor", "days", (F.col("days") >= 8).alias("enough"), day_text("first").alias("first"), day_text("last").alias("last"))
+    from brineloom.cli import sensor_report
+
+    return sensor_report(obs(spark, sf)).select("sensor", "days", "enough", day_text("first").alias("first"), day_text("last").alias("last"))
 
 
 @query("lin01_matrix", """q as (select day, px, avg(value) as z from obs where water group by day, px), d as (select day from q group by day having count(*) >= 60)
@@ -302,21 +307,22 @@ def lin01(spark, sf):
     return q.join(d, "day", "left_semi").agg(F.count("*").alias("n_values"), F.count_distinct("px").alias("m"), F.count_distinct("day").alias("n"))
 
 
-@query("lin02_upsample", """q as (select day, row // 4 as r, col // 4 as c, avg(value) as v from obs where sensor = 'view' and row < 8 and col < 12 group by 1, 2, 3)
-  select cast(o.day as varchar) as day, o.px, round(q.v,6) as up from obs o left join q on q.day=o.day and q.r=least(o.row // 4, 1) and q.c=least(o.col // 4, 2) where o.sensor = 'view'""")
+@query("lin02_upsample", """, h as (select (max(row) + 1) // 4 as n from obs), q as (select day, row // 4 as r, col // 4 as c, avg(value) as v from obs, h where sensor = 'view' and row < 4*n and col < 12 group by 1, 2, 3)
+  select cast(o.day as varchar) as day, o.px, round(q.v,6) as up from obs o cross join h left join q on q.day=o.day and q.r=least(o.row // 4, greatest(n - 1, 0)) and q.c=least(o.col // 4, 2) where o.sensor = 'view'""")
 def lin02(spark, sf):
     o = obs(spark, sf).where("sensor = 'view'")
-    b = G.block_mean(o, ["day"], 4, 11, 15)
-    return G.upsample(b, o, ["day"], 4, 11, 15).select(day_text().alias("day"), "px", r6("up").alias("up"))
+    n = grid_rows(spark, sf)
+    b = G.block_mean(o, ["day"], 4, n, 15)
+    return G.upsample(b, o, ["day"], 4, n, 15).select(day_text().alias("day"), "px", r6("up").alias("up"))
 
 
-@query("lin03_gram", """q as (select vec_id, u.d as d, u.v as v from (select vec_id, unnest([{'d': 1, 'v': embedding[1]}, {'d': 2, 'v': embedding[2]}, {'d': 3, 'v': embedding[3]}, {'d': 4, 'v': embedding[4]}]) as u from embeddings))
+@query("lin03_gram", """q as (select vec_id, u.d as d, u.v as v from (select vec_id, unnest(list_transform(embedding, lambda x, i: {'d': i, 'v': x})) as u from embeddings))
   select a.d as i, b.d as j, round(sum(cast(a.v as double)*b.v),6) as g from q a join q b on a.vec_id = b.vec_id group by 1, 2""")
 def lin03(spark, sf):
     from brineloom.operators.lowrank import gram
 
-    x = table(spark, sf, "embeddings").select(F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("row"))
-    return gram(x, "row", 4).select("i", "j", r6("g").alias("g"))
+    x = table(spark, sf, "embeddings").select(F.col("embedding").cast("array<double>").alias("row"))
+    return gram(x, "row", x.agg(F.max(F.size("row"))).first()[0] or 0).select("i", "j", r6("g").alias("g"))
 
 
 @query("lin10_loadings", """q as (select px, (px % 7)/10.0 as u1, (px % 5)/10.0 as u2 from (select distinct px from obs)), j as (select o.day, u1, u2, o.value - 60 as x from obs o join q on o.px=q.px where o.sensor='view')
@@ -327,12 +333,12 @@ def lin10(spark, sf):
     return eq.select(day_text().alias("day"), "n", r6("a_u1_u1").alias("a11"), r6("a_u1_u2").alias("a12"), r6("a_u2_u2").alias("a22"), F.round("b_u1", 5).alias("b1"), F.round("b_u2", 5).alias("b2"))
 
 
-@query("lin14_footprints", """q as materialized (select day, px, row, col, cast(floor(value/40) as integer) as v, row*1000003 + col as cell from obs where sensor = 'view' and day <= date '2024-01-06'),
+@query("lin14_footprints", """q as materialized (select day, px, row, col, cast(floor(value/40) as integer) as v, row*1000003 + col as cell from obs where sensor = 'view'),
   e as materialized (select a.day, a.cell as x, b.cell as y from q a join q b on a.day=b.day and a.v=b.v and abs(a.row-b.row)+abs(a.col-b.col)=1),
   l as (with recursive r(day, root, cell) as (select day, cell, cell from q union select r.day, r.root, e.y from r join e on r.day=e.day and r.cell=e.x) select day, cell, min(root) as label from r group by day, cell)
   select cast(q.day as varchar) as day, q.px, l.label from q join l on q.day=l.day and q.cell=l.cell""")
 def lin14(spark, sf):
-    o = obs(spark, sf).where("sensor = 'view' and day <= date '2024-01-06'").withColumn("v", F.floor(F.col("value") / 40).cast("int"))
+    o = obs(spark, sf).where("sensor = 'view'").withColumn("v", F.floor(F.col("value") / 40).cast("int"))
     lab = G.components(o, ["day"], "v")
     return o.join(lab.select("day", "row", "col", "label"), ["day", "row", "col"]).select(day_text().alias("day"), "px", "label")
 
@@ -341,9 +347,11 @@ def lin14(spark, sf):
   n as (select a.sensor, a.day, a.px, max(a.u) as u, max(a.q0) as q0, coalesce(avg(b.q0), 0.5) as nb from q a left join q b on a.sensor=b.sensor and a.day=b.day and abs(a.row-b.row)+abs(a.col-b.col)=1 group by 1, 2, 3)
   select sensor, cast(day as varchar) as day, px, round(0.5*q0 + 0.5/(1+exp(-(u + 1.5*(2*nb - 1)))),6) as q1 from n""")
 def lin15(spark, sf):
-    x = obs(spark, sf).withColumn("u", (F.col("value") - 60) / 30).withColumn("q", S.sigmoid(F.col("u")))
-    n = G.neighbour_mean(x, ["sensor", "day"], "q")
-    return n.select("sensor", day_text().alias("day"), "px", r6(0.5 * F.col("q") + 0.5 * S.sigmoid(F.col("u") + 1.5 * (2 * F.col("near_mean") - 1))).alias("q1"))
+    from brineloom.operators.detect import ising_scenes
+
+    x = obs(spark, sf).withColumn("u", (F.col("value") - 60) / 30)
+    q = ising_scenes(x, ["sensor", "day"], "u", beta=1.5, sweeps=1, damp=0.5)
+    return q.select("sensor", day_text().alias("day"), F.expr("row * 15 + col").alias("px"), r6("q").alias("q1"))
 
 
 @query("lin17_tukey", """q as (select sensor, day, px, value, value - 60 as r from obs where water), s as (select sensor, day, quantile_cont(r,0.25) as q1, quantile_cont(r,0.75) as q3, count(*) as n from q group by sensor, day)

@@ -9,7 +9,7 @@ from brineloom.functions import scalars as S
 from brineloom.operators import stats as A
 from brineloom.operators import stencil as G
 from brineloom.operators.filters import kept_at
-from brineloom.plans.base import BASE, day_text, events, obs, r6
+from brineloom.plans.base import BASE, day_text, events, grid_rows, obs, r6, water_cells
 from brineloom.sources.tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -57,9 +57,9 @@ def agg03(spark, sf):
     return m.select(day_text().alias("day"), "px", r6((F.col("v") - F.col("seasonal")) / F.col("scale")).alias("z"))
 
 
-@query("agg04_block_mean", "select sensor, cast(day as varchar) as day, row // 4 as row, col // 4 as col, round(avg(value),6) as value, count(value) as n from obs where row < 8 and col < 12 group by sensor, day, row // 4, col // 4")
+@query("agg04_block_mean", "select sensor, cast(day as varchar) as day, row // 4 as row, col // 4 as col, round(avg(value),6) as value, count(value) as n from obs where row < (select (max(row) + 1) // 4 * 4 from obs) and col < 12 group by sensor, day, row // 4, col // 4")
 def agg04(spark, sf):
-    out = G.block_mean(obs(spark, sf), ["sensor", "day"], 4, 11, 15)
+    out = G.block_mean(obs(spark, sf), ["sensor", "day"], 4, grid_rows(spark, sf), 15)
     return out.select("sensor", day_text().alias("day"), "row", "col", r6("value").alias("value"), "n")
 
 
@@ -203,11 +203,11 @@ def agg21(spark, sf):
     return G.box_mean(obs(spark, sf), ["sensor", "day"], 3).select("sensor", day_text().alias("day"), "px", F.col("box_n").alias("n"), r6("box_mean").alias("mean"))
 
 
-@query("agg22_station_boxes", "select s.px as station, cast(o.day as varchar) as day, count(*) as n, round(avg(o.value),6) as mean from (select distinct px, row, col from obs where px % 40 = 7) s join obs o on abs(o.row - s.row) <= 2 and abs(o.col - s.col) <= 2 and o.water and o.sensor = 'view' group by s.px, o.day")
+@query("agg22_station_boxes", "select s.px as station, cast(o.day as varchar) as day, count(*) as n, round(avg(o.value),6) as mean from (select distinct px, row, col from obs) s join obs o on abs(o.row - s.row) <= 2 and abs(o.col - s.col) <= 2 and o.water and o.sensor = 'view' group by s.px, o.day")
 def agg22(spark, sf):
     o = obs(spark, sf)
     near = F.explode(F.expr("flatten(transform(sequence(-2, 2), a -> transform(sequence(-2, 2), b -> struct(row + a as row, col + b as col))))")).alias("at")
-    s = o.where("px % 40 = 7").select(F.col("px").alias("station"), "row", "col").distinct().select("station", near).select("station", "at.row", "at.col")
+    s = o.select(F.col("px").alias("station"), "row", "col").distinct().select("station", near).select("station", "at.row", "at.col")
     w = o.where("water and sensor = 'view'").select("day", "row", "col", "value")
     return w.join(s, ["row", "col"]).groupBy("station", "day").agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean")).withColumn("day", day_text())
 
@@ -259,9 +259,10 @@ def agg28(spark, sf):
     return d.groupBy("sensor").agg(F.sum("n").alias("n"), r6(F.sum(n * F.col("bias")) / F.sum("n")).alias("bias"), r6(F.sqrt(F.sum(n * F.col("rmse") * F.col("rmse")) / F.sum("n"))).alias("pooled"))
 
 
-@query("agg30_validation_dates", "select distinct cast(day as varchar) as day from (select sensor, day from obs where sensor <> 'view' and water group by sensor, day having count(*)/135.0 > 0.35)")
+@query("agg30_validation_dates", "select distinct cast(day as varchar) as day from (select sensor, day from obs where sensor <> 'view' and water group by sensor, day having count(*)/(select count(distinct px) from obs where water) > 0.35)")
 def agg30(spark, sf):
-    x = obs(spark, sf).where("sensor <> 'view' and water").groupBy("sensor", "day").agg((F.count("*") / 135.0).alias("share"))
+    x = obs(spark, sf).where("sensor <> 'view' and water").groupBy("sensor", "day").agg(F.count("*").alias("n"))
+    x = x.crossJoin(F.broadcast(water_cells(spark, sf))).withColumn("share", F.col("n") / F.col("n_water"))  # one row
     return x.where("share > 0.35").select(day_text().alias("day")).distinct()
 
 
@@ -301,11 +302,12 @@ def agg35(spark, sf):
     return x.groupBy("sensor", "first").pivot("second", ["kept", "removed"]).count().na.fill(0)
 
 
-@query("agg36_coverage", "select cast(day as varchar) as day, count(distinct px) filter (where sensor='view') as view_px, round(count(distinct px)/135.0,6) as share, bool_and(sensor = 'view') as reference_only from obs where water group by day")
+@query("agg36_coverage", "select cast(day as varchar) as day, count(distinct px) filter (where sensor='view') as view_px, round(count(distinct px)/(select count(distinct px) from obs where water),6) as share, bool_and(sensor = 'view') as reference_only from obs where water group by day")
 def agg36(spark, sf):
     v = F.col("sensor") == "view"
-    out = obs(spark, sf).where("water").groupBy("day").agg(F.count_distinct(F.when(v, F.col("px"))).alias("view_px"), r6(F.count_distinct("px") / 135.0).alias("share"), F.bool_and(v).alias("reference_only"))
-    return out.withColumn("day", day_text())
+    out = obs(spark, sf).where("water").groupBy("day").agg(F.count_distinct(F.when(v, F.col("px"))).alias("view_px"), F.count_distinct("px").alias("n"), F.bool_and(v).alias("reference_only"))
+    out = out.crossJoin(F.broadcast(water_cells(spark, sf)))  # one row
+    return out.select(day_text().alias("day"), "view_px", r6(F.col("n") / F.col("n_water")).alias("share"), "reference_only")
 
 
 @query("agg37_pooled_bias", _VIEW + ", s as (select sensor, day, median(y-x) as off from q group by sensor, day) select q.sensor, round(avg(y-x),6) as before, round(avg(y-off-x),5) as after from q join s on q.sensor=s.sensor and q.day=s.day group by q.sensor")
@@ -364,17 +366,16 @@ def win06(spark, sf):
     return obs(spark, sf).groupBy("sensor", "day").agg(F.sum(F.expr("bit_count((k ^ shiftright(k, 1)) & 31)")).alias("flips")).withColumn("day", day_text())
 
 
-@query("win07_windows", """, d as (select min(day) as d0, max(day) as d1 from obs), w as (select i, d0 + cast(i*10 as int) as central, d0 + cast(i*10 - 3 as int) as low, d0 + cast(i*10 + 12 as int) as high from d, (select unnest(range(0, 3)) as i))
-  select w.i as window_id, count(*) as n, count(*) filter (where o.day >= central and o.day < central + 10) as own from w join obs o on o.day between w.low and w.high group by w.i""")
+@query("win07_windows", """, d as (select day, row_number() over (order by day) - 1 as i, count(*) over () as n from (select distinct day from obs)), w as (select unnest(range(0, cast(ceil(max(n)/10.0) as bigint))) as w from d)
+  select w.w as window_id, count(*) as n, count(*) filter (where d.i >= 10*w.w and d.i < 10*w.w + 10) as own from w join d on d.i >= 10*w.w - 3 and d.i < 10*w.w + 13 join obs o on o.day = d.day group by w.w""")
 def win07(spark, sf):
+    from brineloom.operators.loop import windows
+
     o = obs(spark, sf)
-    d = o.agg(F.min("day").alias("d0"))
-    w = d.select("d0", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("window_id"))
-    day = F.expr("cast(window_id * 10 as int)")
-    w = w.select("window_id", F.date_add("d0", day).alias("central"), F.date_add("d0", day - 3).alias("low"), F.date_add("d0", day + 12).alias("high"))
-    j = o.join(F.broadcast(w), o["day"].between(w["low"], w["high"]))  # a handful of windows
-    own = (F.col("day") >= F.col("central")) & (F.col("day") < F.date_add("central", 10))
-    return j.groupBy("window_id").agg(F.count("*").alias("n"), F.count_if(own).alias("own"))
+    days = [r["day"] for r in o.select("day").distinct().orderBy("day").collect()]  # the record's days
+    own = [(i, d, d in set(central)) for i, (every, central) in enumerate(windows(days, 10, 3)) for d in every]
+    j = o.join(F.broadcast(spark.createDataFrame(own, "window_id long, day date, own boolean")), "day")
+    return j.groupBy("window_id").agg(F.count("*").alias("n"), F.count_if("own").alias("own"))
 
 
 @query("win08_limits", "select sensor, round(quantile_cont(value, 0.01),5) as p1, round(quantile_cont(value, 0.02),5) as p2, round(quantile_cont(value, 0.98),5) as p98, round(quantile_cont(value, 0.995),5) as p995 from ev group by sensor")
