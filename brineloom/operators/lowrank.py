@@ -83,24 +83,34 @@ def top_modes(b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return v * np.where(sign == 0, 1, sign), np.maximum(lam, 0)
 
 
-def em_fill(x: np.ndarray, k: int, t: np.ndarray, alpha: float = 0.0, sweeps: int = 0, tol: float = 1e-3, max_iter: int = 100, seed: np.ndarray | None = None) -> dict:
-    """One matrix in memory (a coarse grid): NaN are gaps.  Returns filled, V, sigma, deltas, mean."""
+def em_fill(x: np.ndarray, k: int, t: np.ndarray, alpha: float = 0.0, sweeps: int = 0, tol: float = 1e-3, max_iter: int = 100, seed: np.ndarray | None = None, smoother: Callable[[np.ndarray], np.ndarray] | None = None) -> dict:
+    """One matrix in memory (a coarse grid): NaN are gaps.  Returns filled, V, sigma, deltas, mean.
+
+    seed: a field to start the gaps from; without a filter in time, days without any value start
+    from the mean all the same, as nothing else would hold them.  smoother: applied to the columns'
+    maps before the modes are taken.
+    """
     seen = np.isfinite(x)
     mean = x[seen].mean() if seen.any() else 0.0
-    z = np.where(seen, x - mean, 0.0 if seed is None else seed - mean)
+    start = np.zeros_like(x) if seed is None else np.nan_to_num(seed - mean)
+    if not sweeps:
+        start[:, ~seen.any(0)] = 0.0
+    z = np.where(seen, x - mean, start)
     sd = (x[seen] - mean).std() or 1.0
     deltas: list[float] = []
     v = sigma = None
     for _ in range(max_iter):
-        v, _lam = top_modes(filtered_gram(t, z.T @ z, alpha, sweeps), k)
-        w = z @ v
+        s = smoother(z) if smoother else z
+        v, _lam = top_modes(filtered_gram(t, s.T @ s, alpha, sweeps), k)
+        w = s @ v
         sigma = np.linalg.norm(w, axis=0)
         new = (w @ v.T)[~seen]
         deltas.append(float(np.sqrt(np.mean((new - z[~seen]) ** 2)) / sd) if new.size else 0.0)
         z[~seen] = new
         if deltas[-1] < tol:
             break
-    return {"filled": z + mean, "lowrank": (z @ v) @ v.T + mean, "V": v, "sigma": sigma, "deltas": deltas, "mean": mean, "sd": sd}
+    w = (smoother(z) if smoother else z) @ v
+    return {"filled": z + mean, "lowrank": w @ v.T + mean, "W": w, "V": v, "sigma": sigma, "deltas": deltas, "mean": mean, "sd": sd}
 
 
 @dataclass
@@ -111,16 +121,27 @@ class Fit:
     deltas: list[float] = field(default_factory=list)
 
 
-def em_fill_rows(matrix: DataFrame, n: int, k: int, t: np.ndarray, alpha: float = 0.0, sweeps: int = 0, tol: float = 1e-3, max_iter: int = 100, save: Callable[[DataFrame], DataFrame] = written) -> tuple[Fit, DataFrame]:
+def em_fill_rows(matrix: DataFrame, n: int, k: int, t: np.ndarray, alpha: float = 0.0, sweeps: int = 0, tol: float = 1e-3, max_iter: int = 100, seed: tuple[np.ndarray, DataFrame] | None = None, save: Callable[[DataFrame], DataFrame] = written) -> tuple[Fit, DataFrame]:
     """EM over dealt rows (px, z).  Returns the fit, and (px, z, w): w are a row's loadings on V.
 
+    seed: V of an earlier fit of rank k and rows' loadings (px, w) on it, which fill the gaps at
+    first (rows without: the mean; days without any value too, if there is no filter in time).
+
     A row's state between rounds is its k loadings, written by ``save``; a round fills the gaps
     from them, sums the Gram matrix of its part, and sends n x n numbers.
     """
     e = matrix.select(F.explode("z").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v")).agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).first()
     mean, sd = float(e["m"] or 0.0), float(e["s"] or 0.0) or 1.0
-    state = save(matrix.select("px", "z", F.array_repeat(F.lit(0.0), k).alias("w")))
+    none = F.array_repeat(F.lit(0.0), k)
     fit = Fit(np.zeros((n, k)), np.zeros(k), mean)
+    if seed is None:
+        state = save(matrix.select("px", "z", none.alias("w")))
+    else:
+        state = save(matrix.select("px", "z").join(seed[1].select("px", F.col("w").cast("array<double>").alias("w")), "px", "left").select("px", "z", F.coalesce("w", none).alias("w")))
+        fit.v = np.array(seed[0], float)
+        if not sweeps:
+            counts = matrix.select(F.posexplode("z").alias("i", "v")).where(F.col("v").isNotNull() & ~F.isnan("v")).select("i").distinct().collect()
+            fit.v[np.setdiff1d(np.arange(n), [r["i"] for r in counts])] = 0.0
 
     def filled(batch, v):
         x = _rows(batch.column(1), n) - mean
