@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -87,6 +88,45 @@ def scene_bootstrap(scenes: DataFrame, stat: Callable[[], Column], by: str = "se
     return s.groupBy(by).agg(F.percentile("s", F.lit(low)).alias("low"), F.percentile("s", F.lit(high)).alias("high"))
 
 
+def fit_offset_model(hours: Sequence[float], delta: Sequence[float], w: Sequence[float], harmonics: int = 1, min_scenes: int = 8, max_cond: float = 100.0, clip: tuple[float, float] = (-5.0, 5.0), name: str = "member") -> dict:
+    """harmonics, coef, loo, fitted and its range, of a member's offset over its matchup scenes.
+
+    Under min_scenes it is a constant; no scene at all, or a fitted offset outside of ``clip``, is
+    an error that says so.
+    """
+    delta = np.asarray(delta, float)
+    if not len(delta):
+        raise ValueError(f"{name} has no matchup scene: it can't be put on the reference's scale")
+    k, coef, loo = harmonic_ladder(hours, delta, w, harmonics if len(delta) >= min_scenes else 0, max_cond)
+    fitted = offset_at(hours, coef)
+    low, high = float(fitted.min()), float(fitted.max())
+    if not (clip[0] <= low and high <= clip[1]):
+        raise ValueError(f"{name}: the fitted offset spans [{low:+.2f}, {high:+.2f}], outside of [{clip[0]:+.2f}, {clip[1]:+.2f}]")
+    return {"harmonics": k, "coef": coef, "loo": loo, "fitted": fitted, "mean": float(fitted.mean()), "low": low, "high": high, "few": len(delta) < min_scenes}
+
+
+def offset_at(hours: Sequence[float], coef: Sequence[float]) -> np.ndarray:
+    """The offset at those hours; a missing hour has the constant alone."""
+    h, coef = np.asarray(hours, float), np.asarray(coef, float)
+    out = np.full(len(h), coef[0])
+    for j in range(1, (len(coef) - 1) // 2 + 1):
+        w = 2 * np.pi * j * h / 24
+        out += np.nan_to_num(coef[2 * j - 1] * np.cos(w)) + np.nan_to_num(coef[2 * j] * np.sin(w))
+    return out
+
+
+def fit_offsets(scenes: DataFrame, by: str = "sensor", harmonics: int = 1, min_scenes: int = 8, max_cond: float = 100.0, clip: tuple[float, float] = (-5.0, 5.0)) -> DataFrame:
+    """(by, harmonics, coef, loo, mean, low, high) of each member from scenes (by, hour, delta, w): one row a scene."""
+    schema = f"{by} string, harmonics int, coef array<double>, loo double, mean double, low double, high double"
+
+    def run(key, table):
+        r = fit_offset_model(table.column("hour").to_numpy(zero_copy_only=False), table.column("delta").to_numpy(), table.column("w").to_numpy(), harmonics, min_scenes, max_cond, clip, str(key[0].as_py()))
+        return pa.table({by: [str(key[0].as_py())], "harmonics": pa.array([r["harmonics"]], pa.int32()), "coef": [r["coef"].tolist()], "loo": [r["loo"]], "mean": [r["mean"]], "low": [r["low"]], "high": [r["high"]]})
+
+    x = scenes.where(F.col("delta").isNotNull()).select(F.col(by).cast("string").alias(by), F.coalesce(F.col("hour").cast("double"), F.lit(float("nan"))).alias("hour"), F.col("delta").cast("double").alias("delta"), F.col("w").cast("double").alias("w"))
+    return x.groupBy(by).applyInArrow(run, schema)
+
+
 def harmonic_ladder(hours: Sequence[float], y: Sequence[float], w: Sequence[float], most: int, max_cond: float = 100.0) -> tuple[int, np.ndarray, float]:
     """(K, coefficients, LOO error) of a diurnal offset from a table of scenes (a row each).
 

@@ -97,76 +97,153 @@ def smooth(s: System, y: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.einsum("tm,tm->t", h, a), np.sqrt(np.maximum(np.einsum("tm,tmn,tn->t", h, p, h), 0))
 
 
-def minimize(fn, x0: np.ndarray, max_iter: int = 400, tol: float = 1e-7) -> np.ndarray:
-    """Nelder-Mead."""
-    n = len(x0)
-    xs = np.vstack([x0, x0 + np.eye(n) * np.where(x0 == 0, 0.25, 0.2 * np.abs(x0) + 0.1)])
-    fs = np.array([fn(x) for x in xs])
-    for _ in range(max_iter * max(1, n)):
-        order = fs.argsort(kind="stable")
-        xs, fs = xs[order], fs[order]
-        if fs[-1] - fs[0] < tol * (1 + abs(fs[0])):
+def minimize(fn, gradient, x0: np.ndarray, max_iter: int = 200, tol: float = 1e-5) -> np.ndarray:
+    """Quasi-Newton descent with backtracking; steps are at most 2 long, as variances are logarithms."""
+    x, f, h = np.array(x0, float), fn(x0), np.eye(len(x0))
+    g = gradient(x)
+    for _ in range(max_iter):
+        if np.abs(g).max(initial=0) < tol * (1 + abs(f)):
             break
-        mid = xs[:-1].mean(0)
-        x = 2 * mid - xs[-1]
-        f = fn(x)
-        if f < fs[0]:
-            far = mid + 2 * (mid - xs[-1])
-            g = fn(far)
-            x, f = (far, g) if g < f else (x, f)
-        elif f >= fs[-2]:
-            near = mid + 0.5 * ((x if f < fs[-1] else xs[-1]) - mid)
-            g = fn(near)
-            if g < min(f, fs[-1]):
-                x, f = near, g
-            else:
-                xs[1:] = xs[0] + 0.5 * (xs[1:] - xs[0])
-                fs[1:] = [fn(x) for x in xs[1:]]
-                continue
-        xs[-1], fs[-1] = x, f
-    return xs[fs.argmin()]
+        d = -h @ g
+        if d @ g >= 0:
+            h, d = np.eye(len(x)), -g
+        d *= min(1.0, 2.0 / max(np.linalg.norm(d), 1e-12))
+        step = 1.0
+        while step > 1e-8:
+            new = fn(x + step * d)
+            if np.isfinite(new) and new <= f + 1e-4 * step * (d @ g):
+                break
+            step /= 2
+        else:
+            break
+        after = gradient(x + step * d)
+        s, y = step * d, after - g
+        done = f - new < 1e-10 * (1 + abs(f))
+        x, f, g = x + s, new, after
+        if s @ y > 1e-12:
+            rho = 1 / (s @ y)
+            left = np.eye(len(x)) - rho * np.outer(s, y)
+            h = left @ h @ left.T + rho * np.outer(s, s)
+        if done:
+            break
+    return x
 
 
-def fit(model: str, y: np.ndarray, kinds: np.ndarray, doy: np.ndarray, n_kinds: int, n_harmonics: int = 1, period: float = 365.25) -> dict:
-    """Maximum likelihood: theta, var_obs of each kind, smooth, sd.
+@dataclass
+class Series:
+    """A site's values: y (T, p) with NaN gaps, kinds (T, p) the type of each, day of year."""
+
+    y: np.ndarray
+    kinds: np.ndarray
+    doy: np.ndarray
 
-    kinds: (T, p) index of each value's observation type, which sets its variance.
+
+def fit_group(model: str, sites: Sequence[Series], n_kinds: int, n_harmonics: int = 1, period: float = 365.25, share: Sequence[str] = (), biased: Sequence[int] = (), bias_harmonics: int = 0) -> list[dict]:
+    """Maximum likelihood of a group of sites together: for each theta, var_obs, bias, smooth, sd, log_likelihood.
+
+    Parameters var_state, phi, mu, var_obs (a variance a type) and bias are each site's own unless
+    ``share`` names them; sites that share none are fitted one by one, which is the same.  biased:
+    types that have a bias against the others, constant or with harmonics of the year.
     """
-    mean = float(np.nanmean(y)) if np.isfinite(y).any() else 0.0
     ar = model in ("ar1", "ar1_harmonic")
-
-    def unpack(x):
-        theta = {"var_state": float(np.exp(x[0]))}
+    if unknown := set(share) - {"var_state", "phi", "mu", "var_obs", "bias"}:
+        raise ValueError(f"no parameters {sorted(unknown)} to share")
+    if not share and len(sites) > 1:
+        return [fit_group(model, [s], n_kinds, n_harmonics, period, (), biased, bias_harmonics)[0] for s in sites]
+    n_bias = 1 + 2 * bias_harmonics if biased else 0
+    blocks = [("var_state", 1), *([("phi", 1), ("mu", 1)] if ar else []), ("var_obs", n_kinds), *([("bias", n_bias)] if n_bias else [])]
+    seen = np.concatenate([s.y[np.isfinite(s.y)] for s in sites]) if sites else np.zeros(0)
+    level, spread = (float(seen.mean()), max(float(seen.var()), 1e-4)) if len(seen) else (0.0, 1.0)
+    begin = {"var_state": np.log(0.3 * spread), "phi": np.arctanh(0.5 / 0.999), "mu": level, "var_obs": np.log(0.3 * spread), "bias": 0.0}
+    at, start = [{} for _ in sites], []
+    for name, size in blocks:
+        for i in range(len(sites)):
+            if name not in share or not i:
+                own = slice(len(start), len(start) + size)
+                start += [float(begin[name])] * size
+            at[i][name] = own
+    users = np.zeros((len(sites), len(start)), bool)
+    for i, names in enumerate(at):
+        for own in names.values():
+            users[i, own] = True
+    is_biased = np.isin(np.arange(n_kinds), list(biased))
+    year = [np.column_stack([np.ones(len(s.doy)), harmonic_rows(s.doy, bias_harmonics, period)]) if n_bias else None for s in sites]
+
+    def unpack(x, i):
+        get = lambda name: x[at[i][name]]
+        theta = {"var_state": float(np.exp(np.clip(get("var_state")[0], -25, 25)))}
         if ar:
-            theta |= {"phi": 0.999 * float(np.tanh(x[1])), "mu": float(x[2])}
-        return theta, np.exp(x[3 if ar else 1 :])
+            theta |= {"phi": 0.999 * float(np.tanh(get("phi")[0])), "mu": float(get("mu")[0])}
+        return theta, np.exp(np.clip(get("var_obs"), -25, 25)), get("bias") if n_bias else np.zeros(0)
+
+    def system(x, i):
+        theta, var, bias = unpack(x, i)
+        s = sites[i]
+        y = s.y - np.where(is_biased[s.kinds], (year[i] @ bias)[:, None], 0.0) if n_bias else s.y
+        return build(model, theta, s.doy, s.y.shape[1], n_harmonics, period), y, var[s.kinds]
+
+    def cost(x, which=None):
+        return -sum(kalman(*system(x, i))[0] for i in (range(len(sites)) if which is None else which))
+
+    def gradient(x):
+        out = np.zeros(len(x))
+        for j in range(len(x)):
+            which = np.flatnonzero(users[:, j])  # a site's own parameter moves its likelihood alone
+            e = np.zeros(len(x))
+            e[j] = 1e-4 * max(1.0, abs(x[j]))
+            out[j] = (cost(x + e, which) - cost(x - e, which)) / (2 * e[j])
+        return out
+
+    best = minimize(cost, gradient, np.array(start))
+    out = []
+    for i in range(len(sites)):
+        theta, var, bias = unpack(best, i)
+        level, sd = smooth(*system(best, i))
+        out.append({"theta": theta, "var_obs": var, "bias": year[i] @ bias if n_bias else np.zeros(len(sites[i].doy)), "log_likelihood": -cost(best, [i]), "smooth": level, "sd": sd})
+    return out
 
-    def cost(x):
-        theta, var = unpack(np.clip(x, -30, 1e4))
-        return -kalman(build(model, theta, doy, y.shape[1], n_harmonics, period), y, var[kinds])[0]
 
-    start = np.concatenate([[np.log(0.5)], [np.arctanh(0.3 / 0.999), mean] if ar else [], np.full(n_kinds, np.log(0.5))])
-    best = minimize(cost, start)
-    theta, var = unpack(best)
-    level, sd = smooth(build(model, theta, doy, y.shape[1], n_harmonics, period), y, var[kinds])
-    return {"theta": theta, "var_obs": var, "log_likelihood": -cost(best), "smooth": level, "sd": sd}
+def fit(model: str, y: np.ndarray, kinds: np.ndarray, doy: np.ndarray, n_kinds: int, n_harmonics: int = 1, period: float = 365.25) -> dict:
+    """One site alone, as ``fit_group``.  kinds: (T, p) index of each value's observation type, which sets its variance."""
+    return fit_group(model, [Series(y, kinds, doy)], n_kinds, n_harmonics, period)[0]
 
 
-def smooth_sites(series: DataFrame, model: str, types: Sequence[str], n_harmonics: int = 1, period: float = 365.25) -> DataFrame:
-    """(site, day, smooth, low, high, log_likelihood) from series (site, day, type, value).
+def first_type(y: np.ndarray) -> np.ndarray:
+    """Of each day only the first present value, in the order of types."""
+    out = np.full(y.shape, np.nan)
+    some = np.flatnonzero(np.isfinite(y).any(1))
+    j = np.isfinite(y[some]).argmax(1)
+    out[some, j] = y[some, j]
+    return out
+
 
-    One site's series is one group; days without any value are filled.  The band is 1.96
-    deviations.
+def smooth_groups(series: DataFrame, model: str, types: Sequence[str], n_harmonics: int = 1, period: float = 365.25, mode: str = "all", share: Sequence[str] = (), biased: Sequence[str] = (), bias_harmonics: int = 0) -> DataFrame:
+    """(grp, site, day, smooth, low, high, bias, log_likelihood) from series (grp, site, day, type, value).
+
+    One group's sites are fitted in one task; days without any value are filled.  mode: ``all``
+    values of a day, or ``hierarchy``: its first by the order of types.  The band is 1.96
+    deviations.  A site without values has no rows.
     """
+    if mode not in ("all", "hierarchy"):
+        raise ValueError("mode is all or hierarchy")
     index = {k: i for i, k in enumerate(types)}
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(day=pd.to_datetime(pdf["day"]))
         days = pd.date_range(pdf["day"].min(), pdf["day"].max())
-        wide = pdf.pivot_table(index="day", columns="type", values="value", aggfunc="mean", dropna=False).reindex(index=days, columns=list(types))
-        y = wide.to_numpy(float)
-        r = fit(model, y, np.tile(np.arange(len(types)), (len(days), 1)), days.dayofyear.to_numpy(float) - 1, len(types), n_harmonics, period)
-        return pd.DataFrame({"site": key[0], "day": days.date, "smooth": r["smooth"], "low": r["smooth"] - 1.96 * r["sd"], "high": r["smooth"] + 1.96 * r["sd"], "log_likelihood": r["log_likelihood"]})
+        names, sites = sorted(pdf["site"].unique()), []
+        for name in names:
+            wide = pdf[pdf["site"] == name].pivot_table(index="day", columns="type", values="value", aggfunc="mean", dropna=False).reindex(index=days, columns=list(types))
+            y = wide.to_numpy(float)
+            sites.append(Series(first_type(y) if mode == "hierarchy" else y, np.tile(np.arange(len(types)), (len(days), 1)), days.dayofyear.to_numpy(float) - 1))
+        got = fit_group(model, sites, len(types), n_harmonics, period, share, [index[b] for b in biased], bias_harmonics)
+        return pd.concat([pd.DataFrame({"grp": key[0], "site": n, "day": days.date, "smooth": r["smooth"], "low": r["smooth"] - 1.96 * r["sd"], "high": r["smooth"] + 1.96 * r["sd"], "bias": r["bias"], "log_likelihood": r["log_likelihood"]}) for n, r in zip(names, got, strict=True)])
+
+    x = series.where(F.col("type").isin(*index) & F.col("value").isNotNull()).select(F.col("grp").cast("string").alias("grp"), F.col("site").cast("string").alias("site"), "day", "type", "value")
+    return x.groupBy("grp").applyInPandas(run, "grp string, site string, day date, smooth double, low double, high double, bias double, log_likelihood double")
 
-    x = series.where(F.col("type").isin(*index)).select(F.col("site").cast("string").alias("site"), "day", "type", "value")
-    return x.groupBy("site").applyInPandas(run, "site string, day date, smooth double, low double, high double, log_likelihood double")
+
+def smooth_sites(series: DataFrame, model: str, types: Sequence[str], n_harmonics: int = 1, period: float = 365.25) -> DataFrame:
+    """(site, day, smooth, low, high, log_likelihood) from series (site, day, type, value): each site by itself."""
+    alone = smooth_groups(series.withColumn("grp", F.col("site").cast("string")), model, types, n_harmonics, period)
+    return alone.select("site", "day", "smooth", "low", "high", "log_likelihood")
