@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from brineloom.llm import ann, chat, html, langid, toxicity
+from brineloom.llm import chat, html, langid, toxicity
 from brineloom.llm import words as W
 
 SF = "/root/testdata/sf0.01"
@@ -170,25 +170,3 @@ def test_chat_round_trips(spark):
     own = chat.format_chat(long).withColumn("loss", chat.masked_text(F.col("formatted"), F.col("loss_mask"))).first()
     assert own["round_trip"] and own["n_turns"] == 3 and own["loss"] == "x\\" * 200_000 and own["turns"][0]["text"] == "<|" * 100_000
     assert chat.format_chat(x.where("false")).count() == 0
-
-
-def test_nearest_of_odd_vectors(spark):
-    rng = np.random.default_rng(1)
-    v = rng.normal(size=(400, 8)).astype(np.float32)
-    rows = [(i, v[i].tolist()) for i in range(400)] + [(1000 + i, v[3].tolist()) for i in range(60)]
-    rows += [(2000, None), (2001, [0.0] * 8), (2002, [float("nan")] * 8), (2003, [None] * 8), (2004, [1.0]), (2005, []), (None, v[0].tolist()), (7, v[7].tolist()), (2006, [float("inf")] + [0.0] * 7)]
-    x = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
-    got = ann.nearest(x, F.col("vec_id") % 20 == 0).toPandas()
-    base = {i: np.asarray(e, np.float64) for i, e in rows[:460]}
-    ids = np.array(sorted(base))
-    hits = total = 0
-    for q in [i for i in ids if i % 20 == 0]:
-        s = np.array([np.einsum("d,d->", base[i], base[q]) for i in ids])
-        order = [int(i) for _, i in sorted((-round(a, 12), i) for a, i in zip(s, ids, strict=True) if i != q)][:20]
-        mine = got[got["query_id"] == q].sort_values("rank")
-        assert mine["rank"].tolist() == list(range(1, 21)) and (np.diff(mine["score"]) <= 0).all()
-        hits += len(set(order) & set(mine["vec_id"]))
-        total += 20
-    assert hits / total > 0.9
-    few = ann.nearest(spark.createDataFrame(rows[:5], "vec_id long, embedding array<float>"), F.col("vec_id") == 0)
-    assert few.count() == 4 and ann.nearest(x.where("false"), F.col("vec_id") % 20 == 0).count() == 0
