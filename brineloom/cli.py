@@ -5,6 +5,7 @@
     python -m brineloom.cli run NAME SF_DIR OUT_DIR
     python -m brineloom.cli status OUT_DIR
     python -m brineloom.cli init CONFIG [--force]
+    python -m brineloom.cli stage NAME CONFIG [--tag TAG]     (offsets, fill, validate, points, calibrate, all)
 """
 
 from __future__ import annotations
@@ -80,21 +81,39 @@ def run(args) -> int:
 
 def status(args) -> int:
     spark = local_session()
-    for p in sorted(Path(args.out_dir).glob("*.run_meta")):
+    for p in [*sorted(Path(args.out_dir).glob("*.run_meta")), *sorted(Path(args.out_dir).glob("**/run_meta"))]:
         r = spark.read.parquet(str(p)).first()
-        print(p.name.removesuffix(".run_meta"), r["written"], r["commit"][:12], r["config_key"])
+        name = p.name.removesuffix(".run_meta") if p.name != "run_meta" else p.parent.name
+        print(name, r["written"], r["commit"][:12], r["config_key"])
+    return 0
+
+
+def stage(args) -> int:
+    """One stage of a region, or all that the configuration has inputs for."""
+    from brineloom import stages
+
+    try:
+        cfg = config.load(args.config)
+        fn = stages.run_all if args.name == "all" else stages.STAGES[args.name]
+        fn(local_session(), cfg, args.tag)
+    except (KeyError, ValueError, FileNotFoundError) as e:
+        print(f"ERROR {e}", file=sys.stderr)
+        return 1
+    print(stages.stage_dirs(cfg, args.tag)["base"])
     return 0
 
 
 def main(argv=None) -> int:
     p = argparse.ArgumentParser(prog="brineloom")
     s = p.add_subparsers(required=True)
-    for fn, names in ((init, ["config"]), (check, ["config", "sf_dir"]), (queries, []), (run, ["name", "sf_dir", "out_dir"]), (status, ["out_dir"])):
+    for fn, names in ((init, ["config"]), (check, ["config", "sf_dir"]), (queries, []), (run, ["name", "sf_dir", "out_dir"]), (status, ["out_dir"]), (stage, ["name", "config"])):
         c = s.add_parser(fn.__name__)
         for n in names:
             c.add_argument(n)
         if fn is init:
             c.add_argument("--force", action="store_true")
+        if fn is stage:
+            c.add_argument("--tag")
         c.set_defaults(fn=fn)
     args = p.parse_args(argv)
     return args.fn(args)

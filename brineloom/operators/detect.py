@@ -111,7 +111,7 @@ def ising_scenes(cells: DataFrame, by: Sequence[str], u: str, beta: float = 1.5,
 
 @dataclass(frozen=True)
 class Mixture:
-    prior_cloud: float = 0.1
+    prior_cloud: float = 0.1  # of an unflagged value; config.DEFAULTS sets what stages use
     prior_flagged: float = 0.7
     prior_warm: float = 0.02
     cold_rate: float = 0.25

@@ -68,6 +68,28 @@ def fit_rma(scenes: DataFrame, by: str = "sensor", clip: tuple[float, float] = (
     return s.select(by, "slope", "x0", "a", "off", "n", F.coalesce(F.col("slope").between(*clip), F.lit(False)).alias("valid"))
 
 
+def loso_rma(scenes: DataFrame, by: str = "sensor", clip: tuple[float, float] = (0.2, 5.0)) -> DataFrame:
+    """(by, rmse_rma): each scene's y predicted by the major-axis model of all other scenes (x, y).
+
+    A member's scenes, a row each, are one task; those left with an invalid model are not scored.
+    """
+
+    def run(key, table):
+        x, y = (table.column(c).to_numpy() for c in ("x", "y"))
+        e = []
+        for i in range(len(x)):
+            p, q = np.delete(x, i), np.delete(y, i)
+            if len(p) < 3 or not p.std() or not q.std():
+                continue
+            slope = np.sign(np.corrcoef(p, q)[0, 1]) * q.std() / p.std()
+            if clip[0] <= slope <= clip[1]:
+                e.append(y[i] - (q.mean() + slope * (x[i] - p.mean())))
+        return pa.table({by: [str(key[0].as_py())], "rmse_rma": pa.array([float(np.sqrt(np.mean(np.square(e)))) if e else None], pa.float64())})
+
+    rows = scenes.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(F.col(by).cast("string").alias(by), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return rows.groupBy(by).applyInArrow(run, f"{by} string, rmse_rma double")
+
+
 def recommend(rmse_fixed: Column, rmse_rma: Column, valid: Column, gain: float = 0.02) -> Column:
     return F.when(valid & (rmse_rma <= (1 - gain) * rmse_fixed), "rma").otherwise("fixed")
 

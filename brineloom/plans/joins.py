@@ -403,3 +403,100 @@ def lin24(spark, sf):
 def lin30(spark, sf):
     q = events(spark, sf).groupBy((F.col("k") % 6).alias("t_c"), (F.col("k") % 5).alias("kk")).agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rmse"))
     return q.where("t_c = 4 and kk = 2").select(r6("rmse").alias("rmse"))
+
+
+@query("lin21_offset_constant", _SCENES + ", w as (select sensor, delta, 1.0 + day(day) % 3 as w from q) select sensor, count(*) as n, round(sum(w*delta)/sum(w),5) as mean, 0 as harmonics from w group by sensor")
+def lin21(spark, sf):
+    from brineloom.operators.offsets import fit_offsets
+
+    p = J.pixel_matchups(*members(spark, sf)).groupBy("sensor", "day").agg(F.median(F.col("value") - F.col("ref")).alias("delta"))
+    p = p.select("sensor", F.lit(None).cast("double").alias("hour"), "delta", (1.0 + F.dayofmonth("day") % 3).alias("w"))
+    fits = fit_offsets(p, harmonics=0, clip=(-500.0, 500.0))
+    return fits.join(p.groupBy("sensor").agg(F.count("*").alias("n")), "sensor").select("sensor", "n", F.round("mean", 5).alias("mean"), "harmonics")
+
+
+@query("agg29_holdout", """q as (select day, px, avg(value) as pred from obs where sensor <> 'view' group by day, px)
+  select cast(o.day as varchar) as day, count(*) as n, round(sqrt(avg((pred - value)*(pred - value))),6) as rmse, round(avg(pred - value),6) as bias from obs o join q on o.day = q.day and o.px = q.px where o.sensor = 'view' and day(o.day) % 5 = 0 group by o.day""")
+def agg29(spark, sf):
+    from brineloom.operators.fill import holdout_table
+
+    m, r = members(spark, sf)
+    pred = m.groupBy("px", "day").agg(F.avg("value").alias("pred"))
+    out = holdout_table(r.where(F.dayofmonth("day") % 5 == 0).select("px", "day", "value"), pred)
+    return out.select(day_text().alias("day"), "n", r6("rmse").alias("rmse"), r6("bias").alias("bias"))
+
+
+@query("agg19_seasonal_none", """q as (select px, count(*) as n from obs where sensor = 'view' and water group by px), m as (select avg(value) as mean from obs where sensor = 'view' and water)
+  select c.px, coalesce(q.n, 0) as n, round(m.mean,6) as mean from (select distinct px from obs) c cross join m left join q on q.px = c.px""")
+def agg19(spark, sf):
+    from brineloom.operators.seasonal import fit_seasonal
+
+    o = obs(spark, sf)
+    fits = fit_seasonal(o.where("sensor = 'view' and water").select("px", "day", "value"), o.select("px", "row", "col").distinct(), "none", scaled=False)
+    return fits.select("px", "n", r6(F.col("coef")[0]).alias("mean"))
+
+
+@query("agg19_seasonal_harmonic", """q as (select px, value as y, cos(2*pi()*(dayofyear(day)-1)/30.0) as c, sin(2*pi()*(dayofyear(day)-1)/30.0) as s from obs where sensor = 'view'),
+  a as (select px, count(*) as n, sum(c) as c, sum(s) as s, sum(c*c) as cc, sum(c*s) as cs, sum(s*s) as ss, sum(y) as y, sum(c*y) as cy, sum(s*y) as sy from q group by px),
+  d as (select *, n*(cc*ss - cs*cs) - c*(c*ss - cs*s) + s*(c*cs - cc*s) as det from a where n >= 12),
+  e as (select px, (y*(cc*ss - cs*cs) - c*(cy*ss - cs*sy) + s*(cy*cs - cc*sy))/det as m, (n*(cy*ss - cs*sy) - y*(c*ss - cs*s) + s*(c*sy - cy*s))/det as c1, (n*(cc*sy - cy*cs) - c*(c*sy - cy*s) + y*(c*cs - cc*s))/det as s1 from d),
+  f as (select avg(c1) as c1, avg(s1) as s1 from e)
+  select a.px, a.n, case when e.px is null then 'mean_only' else 'full' end as fit, round(coalesce(e.m, (a.y - f.c1*a.c - f.s1*a.s)/a.n),5) as m, round(coalesce(e.c1, f.c1),5) as c1, round(coalesce(e.s1, f.s1),5) as s1 from a cross join f left join e on e.px = a.px""")
+def agg19b(spark, sf):
+    from brineloom.operators.seasonal import fit_seasonal
+
+    o = obs(spark, sf).where("sensor = 'view'")
+    fits = fit_seasonal(o.select("px", "day", "value"), o.select("px", "row", "col").distinct(), "harmonic", 1, 30.0, 12, 1e12, scaled=False)
+    r5 = lambda i: F.round(F.col("coef")[i], 5)
+    return fits.select("px", "n", S.fit_label(F.col("fit")).alias("fit"), r5(0).alias("m"), r5(1).alias("c1"), r5(2).alias("s1"))
+
+
+@query("scl09_spde", """, q as (select distinct r_regionkey + 5 as range_px from region), e as (select 4 - 2*cos(pi()*i/12) - 2*cos(pi()*j/9) as ev from (select unnest(range(0, 12)) as i), (select unnest(range(0, 9)) as j))
+  select cast(range_px as integer) as range_px, round(8.0/(range_px*range_px),8) as kappa2, round(sqrt(avg(pow(8.0/(range_px*range_px) + ev, -2))/0.25),6) as lam from q, e group by range_px""")
+def scl09(spark, sf):
+    from brineloom.operators.gmrf import spde_params
+
+    ranges = [r[0] for r in table(spark, sf, "region").select("r_regionkey").distinct().collect()]  # settings to try
+    rows = [(int(k) + 5, *spde_params((12, 9), float(k + 5), 0.5)) for k in ranges]
+    return spark.createDataFrame(rows, "range_px int, kappa2 double, lam double").select("range_px", F.round("kappa2", 8).alias("kappa2"), F.round("lam", 6).alias("lam"))
+
+
+@query("src05_station_arrays", "select px % 8 as station_id, count(*) as n, round(avg(value - 273.15),6) as mean from ev where sensor = 'error' and value is not null and k % 4 in (1, 2) group by 1")
+def src05(spark, sf):
+    from brineloom.sources.readers import stations_from_grid
+
+    e = events(spark, sf).where("sensor = 'error'").withColumn("station_id", F.col("px") % 8)
+    grid = e.groupBy("station_id").agg(F.collect_list(F.struct("ts", "value", (F.col("k") % 4).alias("qc"))).alias("o"))  # the form of the source: an array a station
+    grid = grid.select("station_id", F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"), F.col("o.ts").alias("times"), F.col("o.value").alias("values"), F.col("o.qc").alias("qc"))
+    return stations_from_grid(grid).groupBy("station_id").agg(F.count("*").alias("n"), r6(F.avg("value_c")).alias("mean"))
+
+
+@query("src06_station_csv", "select cast(px % 8 as varchar) as station_id, count(*) as n, round(avg(value - 273.15),5) as mean from ev where sensor = 'error' and value is not null and coalesce(k, 0) <= 50 group by 1")
+def src06(spark, sf):
+    from brineloom.sources.readers import read_csv_stations
+    from brineloom.sources.scratch import written_as
+
+    e = events(spark, sf).where("sensor = 'error'").select((F.col("px") % 8).alias("id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("when"), "value", F.lit(48.1).alias("latitude"), F.lit(-122.6).alias("longitude"), F.coalesce("k", F.lit(0)).alias("z"))
+    path = written_as(e, "csv", header=True)
+    got = read_csv_stations(spark, path, {"station_id": "id", "time": "when"}, units="K", max_depth_m=50)
+    return got.groupBy("station_id").agg(F.count("*").alias("n"), F.round(F.avg("value_c"), 5).alias("mean"))
+
+
+@query("src07_points_csv", "select cast(s_suppkey as varchar) as site_id, round(cast(s_suppkey as double)/10,6) as lat, round(s_acctbal,6) as lon, case when s_nationkey % 2 = 0 then 'n' || s_nationkey else 'default' end as grp from supplier")
+def src07(spark, sf):
+    from brineloom.sources.readers import read_points
+    from brineloom.sources.scratch import written_as
+
+    s = table(spark, sf, "supplier")
+    group = F.when(F.col("s_nationkey") % 2 == 0, F.concat(F.lit("n"), F.col("s_nationkey").cast("string")))
+    path = written_as(s.select(F.col("s_suppkey").alias("site_id"), (F.col("s_suppkey") / 10).alias("lat"), F.col("s_acctbal").cast("double").alias("lon"), group.alias("group")), "csv", header=True)
+    return read_points(spark, path).select("site_id", r6("lat").alias("lat"), r6("lon").alias("lon"), "grp")
+
+
+@query("src08_stations_json", "select cast(s_suppkey as varchar) as station_id, round(cast(s_nationkey as double),6) as lat, round(s_acctbal,6) as lon from supplier")
+def src08(spark, sf):
+    from brineloom.sources.readers import stations_of_json
+
+    s = table(spark, sf, "supplier").select("s_nationkey", F.struct(F.col("s_suppkey").cast("string").alias("station_id"), F.col("s_nationkey").cast("double").alias("lat"), F.col("s_acctbal").cast("double").alias("lon")).alias("s"))
+    meta = s.groupBy("s_nationkey").agg(F.to_json(F.collect_list("s")).alias("value"))  # the form of the source: a list a table
+    return stations_of_json(meta).select("station_id", r6("lat").alias("lat"), r6("lon").alias("lon"))
