@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brineloom.functions import scalars as S
+from brineloom.operators import reports as R
 from brineloom.operators import stats as A
 from brineloom.operators import stencil as G
 from brineloom.operators.filters import kept_at
@@ -214,7 +215,7 @@ def agg22(spark, sf):
 
 @query("agg23_flip_fraction", "select sensor, round(count(*) filter (where (k > 80) <> (value > 100))/cast(count(*) as double),6) as flips from obs where water group by sensor")
 def agg23(spark, sf):
-    return obs(spark, sf).where("water").groupBy("sensor").agg(r6(F.count_if((F.col("k") > 80) != (F.col("value") > 100)) / F.count("*").cast("double")).alias("flips"))
+    return R.flip_fraction(obs(spark, sf).where("water"), ["sensor"], F.col("k") > 80, F.col("value") > 100).select("sensor", r6("flips").alias("flips"))
 
 
 _CHANCE = "(avg(a::int)*avg(b::int) + (1-avg(a::int))*(1-avg(b::int)))"
@@ -237,43 +238,35 @@ def agg25(spark, sf):
 @query("agg26_scene_agreement", f"""q as (select sensor, day, k <= 60 as a, value < 100 as b from ev)
   select sensor, cast(day as varchar) as day, count(*) as n, round(avg((a = b)::int),6) as agree, round({_KAPPA},6) as kappa, count(*) filter (where a and not b) as only_a, count(*) filter (where b and not a) as only_b from q group by sensor, day""")
 def agg26(spark, sf):
-    a, b = F.col("k") <= 60, F.col("value") < 100
-    out = events(spark, sf).groupBy("sensor", "day").agg(F.count("*").alias("n"), r6(F.avg((a == b).cast("double"))).alias("agree"), r6(A.kappa(a, b)).alias("kappa"), F.count_if(a & ~b).alias("only_a"), F.count_if(b & ~a).alias("only_b"))
-    return out.withColumn("day", day_text())
+    out = R.agreement(events(spark, sf), ["sensor", "day"], F.col("k") <= 60, F.col("value") < 100)
+    return out.select("sensor", day_text().alias("day"), "n", r6("agree").alias("agree"), r6("kappa").alias("kappa"), "only_a", "only_b")
 
 
 @query("agg27_busiest_outliers", """q as (select sensor, day, count(*) as n, round(median(value) filter (where k <= 80),4) as kept, round(median(value) filter (where k > 80),4) as removed, row_number() over (partition by sensor order by count(*) desc, day) as r from ev group by sensor, day)
   select sensor, cast(day as varchar) as day, n, kept, removed from q where r <= 5""")
 def agg27(spark, sf):
-    k, v = F.col("k") <= 80, F.col("value")
-    x = events(spark, sf).groupBy("sensor", "day").agg(F.count("*").alias("n"), F.round(F.median(F.when(k, v)), 4).alias("kept"), F.round(F.median(F.when(~k, v)), 4).alias("removed"))
-    return x.withColumn("r", F.row_number().over(Window.partitionBy("sensor").orderBy(F.desc("n"), "day"))).where("r <= 5").drop("r").withColumn("day", day_text())
+    out = R.busiest_outliers(events(spark, sf), "sensor", "day", "value", F.col("k") <= 80, 5)
+    return out.select("sensor", day_text().alias("day"), "n", F.round("kept", 4).alias("kept"), F.round("removed", 4).alias("removed"))
 
 
 @query("agg28_held_days", _VIEW + """, d as (select sensor, day, count(*) as n, avg(y-x) as bias, sqrt(avg((y-x)*(y-x))) as rmse from q where day(day) % 7 = 0 group by sensor, day)
   select sensor, sum(n)::bigint as n, round(sum(n*bias)/sum(n),6) as bias, round(sqrt(sum(n*rmse*rmse)/sum(n)),6) as pooled from d group by sensor""")
 def agg28(spark, sf):
-    e = F.col("y") - F.col("x")
-    d = pairs(spark, sf).where(F.dayofmonth("day") % 7 == 0).groupBy("sensor", "day").agg(F.count("*").alias("n"), F.avg(e).alias("bias"), F.sqrt(F.avg(e * e)).alias("rmse"))
-    n = F.col("n")
-    return d.groupBy("sensor").agg(F.sum("n").alias("n"), r6(F.sum(n * F.col("bias")) / F.sum("n")).alias("bias"), r6(F.sqrt(F.sum(n * F.col("rmse") * F.col("rmse")) / F.sum("n"))).alias("pooled"))
+    out = R.held_days(pairs(spark, sf).where(F.dayofmonth("day") % 7 == 0), "sensor", "day")
+    return out.select("sensor", "n", r6("bias").alias("bias"), r6("pooled").alias("pooled"))
 
 
 @query("agg30_validation_dates", "select distinct cast(day as varchar) as day from (select sensor, day from obs where sensor <> 'view' and water group by sensor, day having count(*)/(select count(distinct px) from obs where water) > 0.35)")
 def agg30(spark, sf):
-    x = obs(spark, sf).where("sensor <> 'view' and water").groupBy("sensor", "day").agg(F.count("*").alias("n"))
-    x = x.crossJoin(F.broadcast(water_cells(spark, sf))).withColumn("share", F.col("n") / F.col("n_water"))  # one row
-    return x.where("share > 0.35").select(day_text().alias("day")).distinct()
+    n = F.lit(water_cells(spark, sf).first()[0])
+    return R.eligible_days(obs(spark, sf).where("sensor <> 'view' and water"), n, 0.35).select(day_text().alias("day"))
 
 
 @query("agg31_within_scene", _VIEW + """, a as (select sensor, day, y, x - avg(x) over (partition by sensor, day) as xa, y - avg(y) over (partition by sensor, day) as ya from q), s as (select sensor, day, stddev_samp(y) as sd from q group by sensor, day)
   select a.sensor, round(corr(xa,ya),6) as r, round(regr_slope(ya,xa),6) as ols, round((select median(sd) from s where s.sensor = a.sensor),5) as sd from a group by a.sensor""")
 def agg31(spark, sf):
-    w, p = Window.partitionBy("sensor", "day"), pairs(spark, sf)
-    a = p.select("sensor", (F.col("x") - F.avg("x").over(w)).alias("xa"), (F.col("y") - F.avg("y").over(w)).alias("ya"))
-    a = a.groupBy("sensor").agg(r6(F.corr("xa", "ya")).alias("r"), r6(F.regr_slope("ya", "xa")).alias("ols"))
-    s = p.groupBy("sensor", "day").agg(F.stddev_samp("y").alias("sd")).groupBy("sensor").agg(F.round(F.median("sd"), 5).alias("sd"))
-    return a.join(s, "sensor")
+    out = R.within_scene(pairs(spark, sf), "sensor", "day")
+    return out.select("sensor", r6("r").alias("r"), r6("ols").alias("ols"), F.round("sd", 5).alias("sd"))
 
 
 @query("agg32_aic", _VIEW + ", s as (select sensor, count(*) as n, sum(pow(y - x - m, 2)) as rss from (select *, avg(y-x) over (partition by sensor) as m from q) group by sensor) select sensor, round(n*ln(rss/n) + 2,5) as aic from s")
@@ -285,44 +278,37 @@ def agg32(spark, sf):
 
 @query("agg33_flag_changes", "select sensor, i, count(*) filter (where (k >> (i-1)) & 1 = 1 and (k >> i) & 1 = 0) as flagged, count(*) filter (where (k >> (i-1)) & 1 = 0 and (k >> i) & 1 = 1) as restored from obs, (select cast(unnest([1,2,3,4,5]) as bigint) as i) group by sensor, i")
 def agg33(spark, sf):
-    x = obs(spark, sf).select("sensor", "k", F.explode(F.array(*(F.lit(i).cast("long") for i in range(1, 6)))).alias("i"))
-    now, was = F.expr("shiftright(k, int(i)) & 1 = 1"), F.expr("shiftright(k, int(i) - 1) & 1 = 1")
-    return x.groupBy("sensor", "i").agg(F.count_if(was & ~now).alias("flagged"), F.count_if(~was & now).alias("restored"))
+    return R.flag_changes(obs(spark, sf), ["sensor"], "k", 5)
 
 
 @query("agg34_removal_shares", "select px, round(avg((k > 60)::int),6) as a, round(avg((value > 60)::int),6) as b, round(avg((k > 60)::int) - avg((value > 60)::int),6) as diff from obs group by px")
 def agg34(spark, sf):
-    a, b = F.avg((F.col("k") > 60).cast("double")), F.avg((F.col("value") > 60).cast("double"))
-    return obs(spark, sf).groupBy("px").agg(r6(a).alias("a"), r6(b).alias("b"), r6(a - b).alias("diff"))
+    out = R.removal_shares(obs(spark, sf), ["px"], F.col("k") > 60, F.col("value") > 60)
+    return out.select("px", r6("a").alias("a"), r6("b").alias("b"), r6("diff").alias("diff"))
 
 
 @query("agg35_verdict_crosstab", "select sensor, k <= 60 as first, count(*) filter (where value < 60) as kept, count(*) filter (where value >= 60) as removed from obs group by sensor, k <= 60")
 def agg35(spark, sf):
-    x = obs(spark, sf).select("sensor", (F.col("k") <= 60).alias("first"), F.when(F.col("value") < 60, "kept").otherwise("removed").alias("second"))
-    return x.groupBy("sensor", "first").pivot("second", ["kept", "removed"]).count().na.fill(0)
+    return R.verdict_crosstab(obs(spark, sf), ["sensor"], F.col("k") <= 60, F.col("value") < 60)
 
 
 @query("agg36_coverage", "select cast(day as varchar) as day, count(distinct px) filter (where sensor='view') as view_px, round(count(distinct px)/(select count(distinct px) from obs where water),6) as share, bool_and(sensor = 'view') as reference_only from obs where water group by day")
 def agg36(spark, sf):
-    v = F.col("sensor") == "view"
-    out = obs(spark, sf).where("water").groupBy("day").agg(F.count_distinct(F.when(v, F.col("px"))).alias("view_px"), F.count_distinct("px").alias("n"), F.bool_and(v).alias("reference_only"))
-    out = out.crossJoin(F.broadcast(water_cells(spark, sf)))  # one row
-    return out.select(day_text().alias("day"), "view_px", r6(F.col("n") / F.col("n_water")).alias("share"), "reference_only")
+    n = F.lit(water_cells(spark, sf).first()[0])
+    out = R.coverage(obs(spark, sf).where("water"), n, "view")
+    return out.select(day_text().alias("day"), F.col("reference_px").alias("view_px"), r6("share").alias("share"), "reference_only")
 
 
 @query("agg37_pooled_bias", _VIEW + ", s as (select sensor, day, median(y-x) as off from q group by sensor, day) select q.sensor, round(avg(y-x),6) as before, round(avg(y-off-x),5) as after from q join s on q.sensor=s.sensor and q.day=s.day group by q.sensor")
 def agg37(spark, sf):
-    p = pairs(spark, sf)
-    s = p.groupBy("sensor", "day").agg(F.median(F.col("y") - F.col("x")).alias("off"))
-    return p.join(s, ["sensor", "day"]).groupBy("sensor").agg(r6(F.avg(F.col("y") - F.col("x"))).alias("before"), F.round(F.avg(F.col("y") - F.col("off") - F.col("x")), 5).alias("after"))
+    return R.pooled_bias(pairs(spark, sf), "sensor", "day").select("sensor", r6("before").alias("before"), F.round("after", 5).alias("after"))
 
 
 @query("agg38_cv_gain", "q as (select k % 6 as t_c, sqrt(avg((value-50)*(value-50))) as rmse from ev group by k % 6) select t_c, round(100*(1 - rmse/(select rmse from q where t_c = 0)),5) as gain from q")
 def agg38(spark, sf):
     d = F.col("value") - 50
     x = events(spark, sf).groupBy((F.col("k") % 6).alias("t_c")).agg(F.sqrt(F.avg(d * d)).alias("rmse"))
-    zero = x.where("t_c = 0").select(F.col("rmse").alias("r0"))
-    return x.crossJoin(F.broadcast(zero)).select("t_c", F.round(100 * (1 - F.col("rmse") / F.col("r0")), 5).alias("gain"))  # one row
+    return R.cv_gain(x, "t_c", "rmse").select("t_c", F.round("gain", 5).alias("gain"))
 
 
 @query("win01_anomalies", _VIEW + " select sensor, cast(day as varchar) as day, px, round(x - avg(x) over (partition by sensor, day) + 1e-8,6) as xa, round(y - median(y) over (partition by sensor, day),4) as ya from q")
@@ -356,14 +342,13 @@ def win04(spark, sf):
 
 @query("win05_first_available", "select cast(day as varchar) as day, px, arg_min(sensor, case sensor when 'view' then 0 when 'click' then 1 else 2 end) as source, round(arg_min(value, case sensor when 'view' then 0 when 'click' then 1 else 2 end),6) as value from obs group by day, px")
 def win05(spark, sf):
-    s = F.col("sensor")
-    first = F.min_by(F.struct("sensor", "value"), F.when(s == "view", 0).when(s == "click", 1).otherwise(2))
-    return obs(spark, sf).groupBy("day", "px").agg(first.alias("f")).select(day_text().alias("day"), "px", F.col("f.sensor").alias("source"), r6("f.value").alias("value"))
+    out = R.first_available(obs(spark, sf), ["day", "px"], "sensor", ["view", "click"], "value")
+    return out.select(day_text().alias("day"), "px", "source", r6("value").alias("value"))
 
 
 @query("win06_flips", "select sensor, cast(day as varchar) as day, sum(bit_count((xor(k, k >> 1)) & 31))::bigint as flips from obs group by sensor, day")
 def win06(spark, sf):
-    return obs(spark, sf).groupBy("sensor", "day").agg(F.sum(F.expr("bit_count((k ^ shiftright(k, 1)) & 31)")).alias("flips")).withColumn("day", day_text())
+    return R.verdict_flips(obs(spark, sf), ["sensor", "day"], "k", 5).withColumn("day", day_text())
 
 
 @query("win07_windows", """, d as (select day, row_number() over (order by day) - 1 as i, count(*) over () as n from (select distinct day from obs)), w as (select unnest(range(0, cast(ceil(max(n)/10.0) as bigint))) as w from d)
@@ -388,56 +373,45 @@ def win08(spark, sf):
   select sensor, i, round(delta/lag(delta) over (partition by sensor order by i),6) as ratio, round(avg(delta) over (partition by sensor order by i rows between 4 preceding and current row),6) as smooth from q""")
 def win09(spark, sf):
     q = events(spark, sf).groupBy("sensor", "day").agg((F.sum("value") / 1000).alias("delta")).select("sensor", F.date_diff(F.col("day"), F.lit("2024-01-01").cast("date")).cast("long").alias("i"), "delta")
-    w = Window.partitionBy("sensor").orderBy("i")
-    return q.select("sensor", "i", r6(F.col("delta") / F.lag("delta").over(w)).alias("ratio"), r6(F.avg("delta").over(w.rowsBetween(-4, 0))).alias("smooth"))
+    return R.contraction(q, "sensor", "i", "delta", 5).select("sensor", "i", r6("ratio").alias("ratio"), r6("smooth").alias("smooth"))
 
 
 @query("top01_parsimonious", "q as (select k % 20 as kk, stddev_pop(value) as rmse from ev group by k % 20) select min(kk) as k, arg_min(kk, rmse) as best from q where rmse <= (select min(rmse) from q)*1.2 ")
 def top01(spark, sf):
     q = events(spark, sf).groupBy((F.col("k") % 20).alias("kk")).agg(F.stddev_pop("value").alias("rmse"))
-    m = q.agg(F.min("rmse").alias("m"), F.min_by("kk", "rmse").alias("best"))
-    return q.crossJoin(F.broadcast(m)).where("rmse <= m * 1.2").agg(F.min("kk").alias("k"), F.max("best").alias("best"))  # one row
+    return R.parsimonious(q, "kk", "rmse", 0.2)
 
 
 _RANKED = "q as (select sensor, day, count(*) as n, row_number() over (partition by sensor order by count(*) desc, day) as r from ev where sensor in ('click','purchase','view') group by sensor, day)"
 
 
-def _ranked(spark, sf):
-    x = events(spark, sf).where("sensor in ('click', 'purchase', 'view')").groupBy("sensor", "day").agg(F.count("*").alias("n"))
-    return x.withColumn("r", F.row_number().over(Window.partitionBy("sensor").orderBy(F.desc("n"), "day")))
-
-
 @query("top02_round_robin", _RANKED + " select sensor, cast(day as varchar) as day, n from q order by r, sensor limit 8")
 def top02(spark, sf):
-    return _ranked(spark, sf).orderBy("r", "sensor").limit(8).select("sensor", day_text().alias("day"), "n")
+    x = events(spark, sf).where("sensor in ('click', 'purchase', 'view')")
+    return R.round_robin(x, "sensor", "day", 8).withColumn("day", day_text())
 
 
 @query("top03_field_days", """q as (select day, count(*) as n from obs group by day), m as (select median(n) as med from q)
   (select 'busiest' as kind, cast(day as varchar) as day from q order by n desc, day limit 3) union (select 'typical', cast(day as varchar) from q, m order by abs(n - med), day limit 3) union (select 'emptiest', cast(day as varchar) from q order by n, day limit 3)""")
 def top03(spark, sf):
-    q = obs(spark, sf).groupBy("day").agg(F.count("*").alias("n"))
-    m = q.crossJoin(F.broadcast(q.agg(F.median("n").alias("med"))))  # one row
-    pick = lambda df, kind, *by: df.orderBy(*by, "day").limit(3).select(F.lit(kind).alias("kind"), day_text().alias("day"))
-    return pick(q, "busiest", F.desc("n")).union(pick(m, "typical", F.abs(F.col("n") - F.col("med")))).union(pick(q, "emptiest", "n")).distinct()
+    return R.field_days(obs(spark, sf), "day", 3).select("kind", day_text().alias("day")).distinct()
 
 
 @query("top04_strip_scenes", """q as (select sensor, day, count(*) as n, count(*) filter (where (k > 60) <> (value > 60)) as dis from obs group by sensor, day)
   select distinct sensor, cast(day as varchar) as day from (select *, row_number() over (partition by sensor order by n desc, day) as a, row_number() over (partition by sensor order by dis desc, day) as b from q) where a <= 3 or b <= 3""")
 def top04(spark, sf):
-    q = obs(spark, sf).groupBy("sensor", "day").agg(F.count("*").alias("n"), F.count_if((F.col("k") > 60) != (F.col("value") > 60)).alias("dis"))
-    w = lambda c: F.row_number().over(Window.partitionBy("sensor").orderBy(F.desc(c), "day"))
-    return q.withColumn("a", w("n")).withColumn("b", w("dis")).where("a <= 3 or b <= 3").select("sensor", day_text().alias("day")).dropDuplicates()
+    return R.strip_scenes(obs(spark, sf), "sensor", "day", (F.col("k") > 60) != (F.col("value") > 60), 3).withColumn("day", day_text())
 
 
 @query("top05_worst_scenes", _DELTA + " select sensor, cast(day as varchar) as day, round(delta,4) as delta from s order by abs(delta) desc, sensor, day limit 10")
 def top05(spark, sf):
-    return scene_deltas(spark, sf).orderBy(F.desc(F.abs("delta")), "sensor", "day").limit(10).select("sensor", day_text().alias("day"), F.round("delta", 4).alias("delta"))
+    return R.worst(scene_deltas(spark, sf), "delta", 10, ["sensor", "day"]).select("sensor", day_text().alias("day"), F.round("delta", 4).alias("delta"))
 
 
 @query("top06_sheet_order", _RANKED + " select cast(row_number() over (order by n desc, sensor, day) as bigint) as place, sensor, cast(day as varchar) as day, n from q where r <= 4")
 def top06(spark, sf):
-    x = _ranked(spark, sf).where("r <= 4")
-    return x.select(F.row_number().over(Window.orderBy(F.desc("n"), "sensor", "day")).cast("long").alias("place"), "sensor", day_text().alias("day"), "n")
+    x = R.busiest(events(spark, sf).where("sensor in ('click', 'purchase', 'view')"), "sensor", "day", 4)
+    return R.sheet_order(x, "sensor", "day", "n").select("place", "sensor", day_text().alias("day"), "n")
 
 
 @query("set01_union_all", "select sensor, count(*) as n from (select * from obs where sensor = 'view' union all select * from obs where sensor = 'click' union all select * from obs where sensor = 'view') group by sensor")

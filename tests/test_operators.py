@@ -236,4 +236,4 @@ def test_sample_products_hold_all_stations(spark, monkeypatch):
 
     cells = spark.range(275_000).selectExpr("id as px", "date '2024-01-01' as day", "cast(id as double) as value")
     monkeypatch.setattr(joins, "obs", lambda spark, sf: cells)
-    assert joins.join09(spark, "").count() == 11_000
+    assert joins.join09(spark, "").count() == 275_000
