@@ -130,3 +130,61 @@ def donor_points(cover: DataFrame, low: float, high: float) -> DataFrame:
 def hash_order(c: Column, seed: int) -> Column:
     """A draw without replacement is the head of this order."""
     return F.xxhash64(F.lit(seed), c)
+
+
+def offset_table(members: DataFrame, days: DataFrame, constants: DataFrame, own: DataFrame, by: str = "sensor") -> DataFrame:
+    """(by, day, off) of every member and day: the day's own offset, else the member's constant."""
+    grid = days.select("day").distinct().crossJoin(F.broadcast(members.select(by).distinct()))  # members are few
+    c = constants.select(by, F.col("off").alias("__c"))
+    return grid.join(c, by, "left").join(own.select(by, "day", "off"), [by, "day"], "left").select(by, "day", F.coalesce("off", "__c").alias("off"))
+
+
+def with_prior_masks(obs: DataFrame, masks: DataFrame, keys: Sequence[str] = ("sensor", "day", "px")) -> DataFrame:
+    """obs with ``kept`` of an earlier run's masks (keys); what they lack was not kept."""
+    kept = masks.select(*keys).distinct().withColumn("kept", F.lit(True))
+    return obs.join(kept, list(keys), "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+
+
+def nearest_day(obs: DataFrame, day, among: DataFrame | None = None) -> DataFrame:
+    """The rows of the acquisition day nearest to the given one (ties: the earlier); among: days to choose from."""
+    days = (obs if among is None else among).select("day").distinct()
+    best = days.orderBy(F.abs(F.date_diff(F.lit(day).cast("date"), "day")), "day").limit(1)
+    return obs.join(F.broadcast(best), "day", "left_semi")  # one row
+
+
+def residuals(obs: DataFrame, base: DataFrame, offset: Column, by: str = "sensor") -> DataFrame:
+    """(by, n, resid, sd) of values less a baseline (px, base) and an offset; sd is without the offset."""
+    x = obs.join(base, "px")
+    e = F.col("value") - F.col("base")
+    return x.groupBy(by).agg(F.count("*").alias("n"), F.avg(e - offset).alias("resid"), F.stddev_pop(e).alias("sd"))
+
+
+def verdict_tables(scenes: DataFrame, kept: dict[str, DataFrame], keys: Sequence[str] = ("sensor", "day")) -> DataFrame:
+    """scenes with a column KEPT or DROPPED for each named table of kept scenes."""
+    for name, table in kept.items():
+        scenes = scenes.join(table.select(*keys).distinct().withColumn(name, F.lit("KEPT")), list(keys), "left")
+    return scenes.na.fill("DROPPED", list(kept))
+
+
+def sensor_overlap(obs: DataFrame, first: str, second: str, min_overlap: int) -> DataFrame:
+    """(day, n, diff): pixels that both sensors have on a day, and their mean difference."""
+    b = obs.where(F.col("sensor") == second).select("day", "px", F.col("value").alias("__b"))
+    x = obs.where(F.col("sensor") == first).join(b, ["day", "px"])
+    return x.groupBy("day").agg(F.count("*").alias("n"), F.avg(F.col("value") - F.col("__b")).alias("diff")).where(F.col("n") >= min_overlap)
+
+
+def common_points(a: DataFrame, b: DataFrame, tolerance: float, keys: Sequence[str] = ("day", "px"), value: str = "value") -> DataFrame:
+    """Rows of ``a`` whose point ``b`` has too, with a value within the tolerance."""
+    other = b.select(*keys, F.col(value).alias("__v"))
+    return a.join(other, list(keys)).where(F.abs(F.col(value) - F.col("__v")) < tolerance).drop("__v")
+
+
+def align_days(days: DataFrame, series: DataFrame, value: str, fill: float = 0.0) -> DataFrame:
+    """(i, day, value): the record's days numbered in order from 0, each with the series' value or ``fill``."""
+    q = days.select("day").distinct().withColumn("i", F.row_number().over(Window.orderBy("day")).cast("long") - 1)  # the record's days
+    return q.join(series.select("day", value), "day", "left").select("i", "day", F.coalesce(value, F.lit(fill)).alias(value))
+
+
+def site_series(field: DataFrame, sites: DataFrame) -> DataFrame:
+    """The field's rows at the pixels of sites (px, site...); sites are few."""
+    return field.join(F.broadcast(sites), "px")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from brineloom.operators import filters as X
 from brineloom.operators import joins as J
@@ -158,9 +157,8 @@ def join11(spark, sf):
   select q.sensor, cast(q.day as varchar) as day, coalesce(a.v,'DROPPED') as first, coalesce(b.v,'DROPPED') as second from q left join a on q.sensor=a.sensor and q.day=a.day left join b on q.sensor=b.sensor and q.day=b.day""")
 def join12(spark, sf):
     q = obs(spark, sf).groupBy("sensor", "day").agg(F.count("*").alias("n"))
-    a = q.where("n > 100").select("sensor", "day", F.lit("KEPT").alias("first"))
-    b = q.where("n % 2 = 0").select("sensor", "day", F.lit("KEPT").alias("second"))
-    return q.join(a, ["sensor", "day"], "left").join(b, ["sensor", "day"], "left").na.fill("DROPPED", ["first", "second"]).select("sensor", day_text().alias("day"), "first", "second")
+    out = J.verdict_tables(q, {"first": q.where("n > 100"), "second": q.where("n % 2 = 0")})
+    return out.select("sensor", day_text().alias("day"), "first", "second")
 
 
 @query("join13_seasonal_field", """q as (select l_suppkey as px, count(*) as n, avg(l_extendedprice/1000) as mean from lineitem group by 1), d as (select distinct day from obs)
@@ -182,32 +180,29 @@ def join14(spark, sf):
 
 @query("join15_sensor_overlap", "select cast(a.day as varchar) as day, count(*) as n, round(avg(a.value - b.value) + 1e-8,6) as diff from obs a join obs b on a.day=b.day and a.px=b.px where a.sensor='click' and b.sensor='purchase' group by a.day having count(*) >= 5")
 def join15(spark, sf):
-    o = obs(spark, sf)
-    b = o.where("sensor = 'purchase'").select("day", "px", F.col("value").alias("b"))
-    x = o.where("sensor = 'click'").join(b, ["day", "px"]).groupBy("day").agg(F.count("*").alias("n"), r6(F.avg(F.col("value") - F.col("b")) + 1e-8).alias("diff")).where("n >= 5")
-    return x.withColumn("day", day_text())
+    return J.sensor_overlap(obs(spark, sf), "click", "purchase", 5).select(day_text().alias("day"), "n", r6(F.col("diff") + 1e-8).alias("diff"))
 
 
 @query("join16_common_points", "select count(*) as n, round(sum(a.value),4) as total from obs a join obs b on a.day=b.day and a.px=b.px and a.sensor='click' and b.sensor='view' and abs(a.value - b.value) < 5")
 def join16(spark, sf):
     o = obs(spark, sf)
-    b = o.where("sensor = 'view'").select("day", "px", F.col("value").alias("b"))
-    return o.where("sensor = 'click'").join(b, ["day", "px"]).where("abs(value - b) < 5").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    x = J.common_points(o.where("sensor = 'click'"), o.where("sensor = 'view'"), 5.0)
+    return x.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("join17_align_index", """q as (select day, cast(row_number() over (order by day) - 1 as bigint) as i from (select distinct day from obs)), s as (select day, sum(value) as v from obs where day(day) % 3 <> 0 group by day)
   select q.i, cast(q.day as varchar) as day, round(coalesce(s.v, 0),4) as v from q left join s on q.day = s.day""")
 def join17(spark, sf):
     o = obs(spark, sf)
-    q = o.select("day").distinct().withColumn("i", F.row_number().over(Window.orderBy("day")).cast("long") - 1)  # the record's days
     s = o.where(F.dayofmonth("day") % 3 != 0).groupBy("day").agg(F.sum("value").alias("v"))
-    return q.join(s, "day", "left").select("i", day_text().alias("day"), F.round(F.coalesce("v", F.lit(0.0)), 4).alias("v"))
+    return J.align_days(o, s, "v").select("i", day_text().alias("day"), F.round("v", 4).alias("v"))
 
 
 @query("join18_site_series", "q as (select distinct px from obs where px in (7, 23, 88)) select o.px as site, cast(day as varchar) as day, sensor, round(value,6) as kelvin, round(value - 273.15,6) as celsius from obs o join q on o.px = q.px")
 def join18(spark, sf):
     sites = spark.createDataFrame([(7,), (23,), (88,)], "px long")
-    return obs(spark, sf).join(F.broadcast(sites), "px").select(F.col("px").alias("site"), day_text().alias("day"), "sensor", r6("value").alias("kelvin"), r6(F.col("value") - 273.15).alias("celsius"))
+    x = J.site_series(obs(spark, sf), sites)
+    return x.select(F.col("px").alias("site"), day_text().alias("day"), "sensor", r6("value").alias("kelvin"), r6(F.col("value") - 273.15).alias("celsius"))
 
 
 @query("src01_scan", """q as (select sensor, day from obs where day between date '2024-01-05' and date '2024-01-20' and water group by sensor, day having count(*) >= 45)
@@ -229,15 +224,14 @@ def src04(spark, sf):
 def src10(spark, sf):
     o = obs(spark, sf)
     q = o.where(F.dayofmonth("day") % 3 == 0).groupBy("sensor", "day").agg((F.avg("value") - 60).alias("off"))
-    m = q.groupBy("sensor").agg(F.avg("off").alias("off_mean"))
-    return o.select("day").distinct().crossJoin(F.broadcast(m)).join(q, ["sensor", "day"], "left").select("sensor", day_text().alias("day"), r6(F.coalesce("off", "off_mean")).alias("off"))  # members
+    m = q.groupBy("sensor").agg(F.avg("off").alias("off"))
+    return J.offset_table(m, o, m, q).select("sensor", day_text().alias("day"), r6("off").alias("off"))
 
 
 @query("src12_prior_masks", "select o.sensor, count(*) as n, count(*) filter (where m.px is not null) as kept from obs o left join (select distinct sensor, day, px from obs where k <= 70) m on o.sensor=m.sensor and o.day=m.day and o.px=m.px group by o.sensor")
 def src12(spark, sf):
     o = obs(spark, sf)
-    m = o.where("k <= 70").select("sensor", "day", "px", F.lit(True).alias("kept"))
-    return o.join(m, ["sensor", "day", "px"], "left").groupBy("sensor").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept"))
+    return J.with_prior_masks(o, o.where("k <= 70")).groupBy("sensor").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept"))
 
 
 @query("src14_date_range", "select cast(day as varchar) as day, count(*) as n from ev where day between date '2024-01-10' and date '2024-01-12' group by day")
@@ -254,16 +248,16 @@ def src15(spark, sf):
   select cast(o.day as varchar) as day, px, round(value,6) as value, px % 7 < 2 as tidal from obs o join q on o.day = q.day where sensor = 'view' and water""")
 def src16(spark, sf):
     o = obs(spark, sf).where("sensor = 'view'")
-    d = o.where(F.dayofmonth("day") % 2 == 0).select("day").distinct().orderBy(F.abs(F.date_diff(F.lit("2024-01-15").cast("date"), "day")), "day").limit(1)
-    return o.where("water").join(F.broadcast(d), "day", "left_semi").select(day_text().alias("day"), "px", r6("value").alias("value"), (F.col("px") % 7 < 2).alias("tidal"))  # one row
+    x = J.nearest_day(o.where("water"), "2024-01-15", o.where(F.dayofmonth("day") % 2 == 0))
+    return x.select(day_text().alias("day"), "px", r6("value").alias("value"), (F.col("px") % 7 < 2).alias("tidal"))
 
 
 @query("src21_residuals", """q as (select px, avg(value) as base from obs where sensor = 'view' group by px)
   select o.sensor, count(*) as n, round(avg(o.value - 1.5 - q.base),6) as resid, round(stddev_pop(o.value - q.base),6) as sd from obs o join q on o.px=q.px where o.sensor <> 'view' group by o.sensor""")
 def src21(spark, sf):
     m, r = members(spark, sf)
-    x = m.join(r.groupBy("px").agg(F.avg("value").alias("base")), "px")
-    return x.groupBy("sensor").agg(F.count("*").alias("n"), r6(F.avg(F.col("value") - 1.5 - F.col("base"))).alias("resid"), r6(F.stddev_pop(F.col("value") - F.col("base"))).alias("sd"))
+    out = J.residuals(m, r.groupBy("px").agg(F.avg("value").alias("base")), F.lit(1.5))
+    return out.select("sensor", "n", r6("resid").alias("resid"), r6("sd").alias("sd"))
 
 
 @query("snk11_cache_misses", "select sensor, cast(day as varchar) as day from obs where not (sensor = 'view' and day(day) < 10) group by sensor, day")
