@@ -7,6 +7,7 @@ in days.  Each EM round is one pass over the rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 
 from brineloom.sources.scratch import written
 
+#: Values of a matrix (160 MB) that one task fits.
+ONE_TASK = 20_000_000
+
 
 def _rows(column: pa.Array, n: int) -> np.ndarray:
     """An array column as a float matrix, NaN where NULL."""
@@ -98,7 +102,7 @@ def em_fill(x: np.ndarray, k: int, t: np.ndarray, alpha: float = 0.0, sweeps: in
     z = np.where(seen, x - mean, start)
     sd = (x[seen] - mean).std() or 1.0
     deltas: list[float] = []
-    v = sigma = None
+    v = sigma = w = None
     for _ in range(max_iter):
         s = smoother(z) if smoother else z
         v, _lam = top_modes(filtered_gram(t, s.T @ s, alpha, sweeps), k)
@@ -109,8 +113,9 @@ def em_fill(x: np.ndarray, k: int, t: np.ndarray, alpha: float = 0.0, sweeps: in
         z[~seen] = new
         if deltas[-1] < tol:
             break
+    last = w
     w = (smoother(z) if smoother else z) @ v
-    return {"filled": z + mean, "lowrank": w @ v.T + mean, "W": w, "V": v, "sigma": sigma, "deltas": deltas, "mean": mean, "sd": sd}
+    return {"filled": z + mean, "lowrank": w @ v.T + mean, "W": w, "last": last, "V": v, "sigma": sigma, "deltas": deltas, "mean": mean, "sd": sd}
 
 
 @dataclass
@@ -121,15 +126,19 @@ class Fit:
     deltas: list[float] = field(default_factory=list)
 
 
-def em_fill_rows(matrix: DataFrame, n: int, k: int, t: np.ndarray, alpha: float = 0.0, sweeps: int = 0, tol: float = 1e-3, max_iter: int = 100, seed: tuple[np.ndarray, DataFrame] | None = None, save: Callable[[DataFrame], DataFrame] = written) -> tuple[Fit, DataFrame]:
+def em_fill_rows(matrix: DataFrame, n: int, k: int, t: np.ndarray, alpha: float = 0.0, sweeps: int = 0, tol: float = 1e-3, max_iter: int = 100, seed: tuple[np.ndarray, DataFrame] | None = None, save: Callable[[DataFrame], DataFrame] = written, one_task: int = ONE_TASK) -> tuple[Fit, DataFrame]:
     """EM over dealt rows (px, z).  Returns the fit, and (px, z, w): w are a row's loadings on V.
 
     seed: V of an earlier fit of rank k and rows' loadings (px, w) on it, which fill the gaps at
     first (rows without: the mean; days without any value too, if there is no filter in time).
 
-    A row's state between rounds is its k loadings, written by ``save``; a round fills the gaps
-    from them, sums the Gram matrix of its part, and sends n x n numbers.
+    A matrix of at most ``one_task`` values (counted first) is fitted by one task, with the same
+    result: rounds of it would spend their time on starting jobs.  Of a larger one, a row's state
+    between rounds is its k loadings, written by ``save``; a round fills the gaps from them, sums
+    the Gram matrix of its part, and sends n x n numbers, which are added in two steps.
     """
+    if matrix.count() * n <= one_task:
+        return _fit_in_task(matrix, n, k, t, alpha, sweeps, tol, max_iter, seed, save)
     e = matrix.select(F.explode("z").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v")).agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).first()
     mean, sd = float(e["m"] or 0.0), float(e["s"] or 0.0) or 1.0
     none = F.array_repeat(F.lit(0.0), k)
@@ -152,15 +161,20 @@ def em_fill_rows(matrix: DataFrame, n: int, k: int, t: np.ndarray, alpha: float
         v_old = fit.v
 
         def part(batches, v_old=v_old):
+            from pyspark import TaskContext
+
             g = np.zeros((n, n))
             for batch in batches:
                 x, _ = filled(batch, v_old)
                 g += x.T @ x
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * n, pa.int32()), pa.array(g.ravel()))], ["i", "g"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % groups], pa.int32()), pa.array([g.tobytes()], pa.binary())], ["part", "g"])
 
-        sums = state.mapInArrow(part, "i int, g array<double>").select("i", F.posexplode("g").alias("j", "g")).groupBy("i", "j").agg(F.sum("g").alias("g")).toArrow()
-        b = np.zeros((n, n))
-        b[sums.column(0).to_numpy(), sums.column(1).to_numpy()] = sums.column(2).to_numpy()
+        def add(table):
+            return pa.table({"part": table.column("part").slice(0, 1), "g": pa.array([sum(np.frombuffer(g.as_py()) for g in table.column("g")).tobytes()], pa.binary())})
+
+        groups = max(1, math.isqrt(state.rdd.getNumPartitions()))
+        sums = state.mapInArrow(part, "part int, g binary").groupBy("part").applyInArrow(add, "part int, g binary").collect()
+        b = sum((np.frombuffer(r["g"]) for r in sums), np.zeros(n * n)).reshape(n, n)
         v_new, _lam = top_modes(filtered_gram(t, b, alpha, sweeps), k)
 
         def move(batches, v_old=v_old, v_new=v_new):
@@ -180,6 +194,36 @@ def em_fill_rows(matrix: DataFrame, n: int, k: int, t: np.ndarray, alpha: float
     return fit, state
 
 
+def _fit_in_task(matrix, n, k, t, alpha, sweeps, tol, max_iter, seed, save) -> tuple[Fit, DataFrame]:
+    none = F.array_repeat(F.lit(0.0), k)
+    v0 = None if seed is None else np.array(seed[0], float)
+    rows = matrix.select("px", "z", none.alias("w"))
+    if seed is not None:
+        rows = matrix.select("px", "z").join(seed[1].select("px", F.col("w").cast("array<double>").alias("w")), "px", "left").select("px", "z", F.coalesce("w", none).alias("w"))
+
+    def run(batches):
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        if not table.num_rows:
+            return
+        x = _rows(table.column("z").chunk(0), n)
+        seen = np.isfinite(x)
+        start = None if v0 is None else _rows(table.column("w").chunk(0), k) @ v0.T + (x[seen].mean() if seen.any() else 0.0)
+        r = em_fill(x, k, t, alpha, sweeps, tol, max_iter, start)
+        told = np.concatenate([[r["mean"], len(r["deltas"])], r["deltas"], r["sigma"], r["V"].ravel()])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * k, pa.int32()), pa.array(np.ascontiguousarray(r["last"]).ravel()))
+        fits = pa.array([told.tobytes()] + [None] * (len(x) - 1), pa.binary())
+        yield from pa.table([table.column("px"), table.column("z").cast(pa.list_(pa.float64())), lists, fits], names=["px", "z", "w", "fit"]).to_batches(max_chunksize=2_000)
+
+    px = rows.schema["px"].dataType.simpleString()
+    out = save(rows.repartition(1).mapInArrow(run, f"px {px}, z array<double>, w array<double>, fit binary"))
+    found = out.where(F.col("fit").isNotNull()).select("fit").first()
+    if found is None:
+        return Fit(np.zeros((n, k)), np.zeros(k), 0.0), out.select("px", "z", "w")
+    told = np.frombuffer(found["fit"])
+    m = int(told[1])
+    return Fit(told[2 + m + k :].reshape(n, k).copy(), told[2 + m : 2 + m + k].copy(), float(told[0]), told[2 : 2 + m].tolist()), out.select("px", "z", "w")
+
+
 def reconstruct_rows(state: DataFrame, fit: Fit) -> DataFrame:
     """(px, filled, lowrank) arrays from rows with loadings."""
     n, k = fit.v.shape

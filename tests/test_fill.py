@@ -37,7 +37,12 @@ def test_seeded_rows_equal_the_seeded_matrix(spark):
     first = em_fill(x, 2, t, max_iter=3)
     ids = sorted(r["px"] for r in values.select("px").distinct().collect())
     start = spark.createDataFrame([(p, w.tolist()) for p, w in zip(ids, first["W"], strict=True)], "px long, w array<double>")
-    fit, _ = em_fill_rows(matrix_rows(values, DAYS), len(DAYS), 2, t, seed=(first["V"], start), max_iter=2, tol=0)
+    fit, state = em_fill_rows(matrix_rows(values, DAYS), len(DAYS), 2, t, seed=(first["V"], start), max_iter=2, tol=0, one_task=0)
+    one, held = em_fill_rows(matrix_rows(values, DAYS), len(DAYS), 2, t, seed=(first["V"], start), max_iter=2, tol=0)
+    assert one.v == pytest.approx(fit.v, abs=1e-6) and one.sigma == pytest.approx(fit.sigma) and one.deltas == pytest.approx(fit.deltas, rel=1e-6) and one.mean == pytest.approx(fit.mean)
+    assert {r["px"]: r["w"] for r in held.collect()} == {r["px"]: pytest.approx(r["w"], abs=1e-6) for r in state.collect()}
+    none, rows = em_fill_rows(matrix_rows(values.where("false"), DAYS), len(DAYS), 2, t)
+    assert rows.count() == 0 and none.deltas == []
     want = em_fill(x, 2, t, seed=first["W"] @ first["V"].T + first["mean"], max_iter=2, tol=0)
     assert np.abs(np.abs(fit.v) - np.abs(want["V"])).max() < 1e-6 and fit.deltas == pytest.approx(want["deltas"], rel=1e-6)
     assert np.abs(want["lowrank"][:, 7] - want["mean"]).max() < 0.2  # without a filter nothing holds the empty day

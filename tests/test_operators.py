@@ -137,7 +137,7 @@ def test_distributed_em_equals_the_one_in_memory(spark):
     data = [(i, [None if gap[i, j] else float(x[i, j]) for j in range(12)]) for i in range(60)]
     m = spark.createDataFrame(data, "px long, z array<double>").repartition(3)
     t = np.arange(12.0)
-    fit, state = lowrank.em_fill_rows(m, 12, 2, t, 0.05, 2, 1e-4, 12)
+    fit, state = lowrank.em_fill_rows(m, 12, 2, t, 0.05, 2, 1e-4, 12, one_task=0)
     one = lowrank.em_fill(np.where(gap, np.nan, x), 2, t, 0.05, 2, 1e-4, 12)
     assert np.allclose(fit.deltas, one["deltas"], rtol=1e-6)
     got = {r["px"]: r["filled"] for r in lowrank.reconstruct_rows(state, fit).collect()}
