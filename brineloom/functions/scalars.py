@@ -39,8 +39,17 @@ def peak_day(cos_k: Column, sin_k: Column, k: int, period: float) -> Column:
     return F.pmod(F.atan2(sin_k, cos_k) * period / (2 * math.pi * k), F.lit(period / k))
 
 
+def half_away(c: Column, digits: int) -> Column:
+    """Rounded as SQL engines do with doubles: scaled, then half away from zero; a small negative is -0.0."""
+    y = F.abs(c * 10.0**digits)
+    whole = F.floor(y).cast("double")
+    out = F.signum(c) * F.when(y - whole >= 0.5, whole + 1).otherwise(whole) / 10.0**digits
+    return F.when(y < 2.0**52, out).otherwise(c)  # larger ones, infinity and NaN have no such digits
+
+
 def terms(coefs: dict[str, Column]) -> Column:
-    return F.concat_ws(";", *(F.format_string(f"{name}=%.4f", c) for name, c in coefs.items()))
+    """The coefficients as text; null if one of them is."""
+    return F.concat(*(F.concat(F.lit(";" if i else ""), F.when(c.isNotNull(), F.format_string(f"{name}=%.4f", c))) for i, (name, c) in enumerate(coefs.items())))
 
 
 def sigmoid(x: Column) -> Column:

@@ -29,6 +29,21 @@ def robust_scale(rows: DataFrame, n_params: int, floor: float, dof: bool = True,
     return m.crossJoin(F.broadcast(typical)).select(by, "n", F.greatest(F.coalesce("raw", "typical"), F.lit(floor)).alias("scale"))  # one row
 
 
+def means_in_order(rows: DataFrame, by: str, order: Sequence[str], values: dict[str, Column]) -> DataFrame:
+    """(by, name...): means of doubles that are added row by row in the given order.
+
+    A mean that lies halfway between two roundings falls to one side or the other by the order of
+    its sum; here the order is the rows' own and not that in which parts arrive.  A running sum needs
+    no group in memory.
+    """
+    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = rows.select(by, *order, *(c.alias(name) for name, c in values.items()))
+    run = [F.struct(F.sum(name).over(w).alias("s"), F.count(name).over(w).alias("n")).alias(f"__{name}") for name in values]
+    x = x.select(by, F.row_number().over(w).alias("__i"), *run)
+    x = x.groupBy(by).agg(F.max_by(F.struct(*(f"__{name}" for name in values)), "__i").alias("m"))
+    return x.select(by, *((F.col(f"m.__{name}.s") / F.when(F.col(f"m.__{name}.n") > 0, F.col(f"m.__{name}.n"))).alias(name) for name in values))
+
+
 def shorth(rows: DataFrame, by: Sequence[str], value: str = "value", least: int = 64) -> DataFrame:
     """(by..., center, width, scale): midpoint of the shortest half, and the warm side's scale.
 

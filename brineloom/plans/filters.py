@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from brineloom.functions import scalars as S
 from brineloom.operators import filters as X
+from brineloom.operators.stats import means_in_order
 from brineloom.plans.base import BASE, day_text, events, obs, r6, water_cells
 from brineloom.sources.tables import table
 
@@ -241,7 +242,9 @@ def scl03(spark, sf):
 
 @query("scl04_term_text", f", {_COEF} select px, printf('mean=%.4f;cos1=%.4f', round(m,3), round(c1,3)) as terms from c")
 def scl04(spark, sf):
-    return _coef(spark, sf).select("px", S.terms({"mean": F.round("m", 3), "cos1": F.round("c1", 3)}).alias("terms"))
+    c1 = F.col("value") * S.diurnal(F.col("hour"), 1)["cos1"]
+    x = means_in_order(events(spark, sf), "px", ["event_id"], {"m": F.col("value"), "c1": c1})
+    return x.select("px", S.terms({"mean": S.half_away(F.col("m"), 3), "cos1": S.half_away(F.col("c1"), 3)}).alias("terms"))
 
 
 @query("scl05_sigmoid", "select event_id, round(1/(1+exp(-(value-50)/20)),6) as p from ev")

@@ -51,3 +51,15 @@ def test_query(spark, duck, name):
     theirs = sorted(tuple(shown(v.item() if hasattr(v, "item") else v) for v in r) for r in table[columns].itertuples(index=False, name=None))
     assert len(mine) == len(theirs)
     assert all(close(a, b) for x, y in zip(mine, theirs, strict=True) for a, b in zip(x, y, strict=True))
+
+
+def test_term_text_does_not_depend_on_parts(spark, tmp_path):
+    """Means halfway between two roundings, scattered over parts; null means; small negative terms."""
+    db = duckdb.connect(config={"threads": 1})
+    db.sql("create table events as select * from '/root/testdata/sf0.1/events.parquet' order by event_id")
+    db.sql("insert into events values (200000, timestamp '2024-01-01 10:00:00', -1, 'view', 0.0001, '{}'), (200001, timestamp '2024-01-01 10:00:00', -2, 'view', null, '{}')")
+    db.sql(f"copy (select * from events order by hash(event_id)) to '{tmp_path}/plain.parquet'")
+    spark.read.parquet(f"{tmp_path}/plain.parquet").repartition(13).write.parquet(f"{tmp_path}/events.parquet")
+    want = dict(db.sql(registry.oracle_sql()["scl04_term_text"]).fetchall())
+    got = {r["px"]: r["terms"] for r in registry.queries()["scl04_term_text"](spark, str(tmp_path)).collect()}
+    assert got == want and want[-1] == "mean=0.0000;cos1=-0.0000" and want[-2] is None
