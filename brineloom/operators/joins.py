@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Tolerances of a span of time that is one task's work in nearest_in_time.
+CELLS = 16
+
 
 def _whole_seconds(a: Column, b: Column) -> Column:
     """Distance in time, cut to whole seconds."""
@@ -36,19 +39,25 @@ def footprint_matchups(member: DataFrame, cells: DataFrame, min_cells: int, min_
 def nearest_in_time(targets: DataFrame, obs: DataFrame, by: Sequence[str], max_seconds: int, target_ts: str = "target", obs_ts: str = "ts", value: str = "value") -> DataFrame:
     """Each target with the nearest observation of its group, if it is within max_seconds.
 
-    Both sides are united and sorted once by time; the observation before (or at the same instant)
-    and the one after are read from the neighbours.  The later one wins only if it is strictly
-    nearer.  Distances are cut to whole seconds.  One group's rows meet in one task.
+    Both sides are united and sorted by time; the observation before (or at the same instant)
+    is the last one seen in that order, and the one after the last one seen in the opposite order: a
+    frame that ends with the record would be summed up anew for each row.  The later one wins only
+    if it is strictly nearer.  Distances are cut to whole seconds.  Tasks are spans of CELLS
+    tolerances of a group; an observation near a span's border is in both spans.
     """
     by = list(by)
-    o = obs.where(F.col(value).isNotNull()).select(*by, F.col(obs_ts).alias("__t"), F.struct(F.col(obs_ts).alias("ts"), F.col(value).alias("value")).alias("__o"), F.lit(0).alias("__side"), F.lit(None).cast("long").alias("__id"))
-    t = targets.withColumn("__id", F.monotonically_increasing_id())
-    q = t.select(*by, F.col(target_ts).alias("__t"), F.lit(None).cast(o.schema["__o"].dataType).alias("__o"), F.lit(1).alias("__side"), "__id")
-    w = Window.partitionBy(*by).orderBy("__t", "__side")
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    reach = (max_seconds + 1) * 1_000_000
+    span = lambda c: F.floor(c / (CELLS * reach)).cast("long")
+    at = us(F.col(obs_ts))
+    o = obs.where(F.col(value).isNotNull() & F.col(obs_ts).isNotNull())
+    o = o.select(*by, F.col(obs_ts).alias("__t"), F.struct(F.col(obs_ts).alias("ts"), F.col(value).alias("value")).alias("__o"), F.lit(0).alias("__side"), F.explode(F.sequence(span(at - reach), span(at + reach))).alias("__c"))
+    q = targets.where(F.col(target_ts).isNotNull())
+    q = q.select(*by, F.col(target_ts).alias("__t"), F.lit(None).cast(o.schema["__o"].dataType).alias("__o"), F.lit(1).alias("__side"), span(us(F.col(target_ts))).alias("__c"))
+    w = Window.partitionBy(*by, "__c").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = F.last("__o", ignorenulls=True)
     u = o.unionByName(q)
-    before = F.last("__o", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("__o", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    u = u.withColumn("__b", before).withColumn("__a", after).where("__side = 1")
+    u = u.withColumn("__b", seen.over(w.orderBy("__t", "__side"))).withColumn("__a", seen.over(w.orderBy(F.desc("__t"), F.desc("__side")))).where("__side = 1")
     gap = lambda s: _whole_seconds(F.col(f"{s}.ts"), F.col("__t"))
     later = F.col("__a").isNotNull() & (F.col("__b").isNull() | (gap("__a") < gap("__b")))
     u = u.withColumn("__m", F.when(later, F.col("__a")).otherwise(F.col("__b"))).withColumn("dt", gap("__m"))

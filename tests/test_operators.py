@@ -56,6 +56,17 @@ def test_nearest_in_time_ties_and_tolerance(spark):
         assert rows(fn(t, o, ["station"], 10).select("station", "value")) == [(1, 1.0)]
 
 
+def test_nearest_in_time_is_linear_and_split_in_time(spark):
+    """No frame up to the end of a group, many tasks for one group, the same pairs across their borders."""
+    hour = "timestampadd(SECOND, cast(id * {} as int), timestamp_ntz'2024-01-01 00:00:00')"
+    t = spark.range(3000).select(F.lit(1).alias("station"), F.expr(hour.format(37)).alias("target"))
+    o = spark.range(4000).where("id % 11 < 7").select(F.lit(1).alias("station"), F.expr(hour.format(29)).alias("ts"), F.col("id").cast("double").alias("value"))
+    out = joins.nearest_in_time(t, o, ["station"], 60)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedfollowing" not in plan and "__c" in plan
+    assert rows(out.select("target", "ts", "value", "dt")) == rows(joins.nearest_by_cells(t, o, ["station"], 60).select("target", "ts", "value", "dt"))
+
+
 def test_nearest_cell_is_within_the_radius(spark):
     p = spark.createDataFrame([(1, 0.0, 0.0), (2, 50.0, 50.0)], "station int, x double, y double")
     c = spark.createDataFrame([(1, 1.0, 0.0), (2, -0.9, 0.0), (3, 0.0, 5.0)], "px int, x double, y double")
