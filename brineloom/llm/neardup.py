@@ -9,8 +9,10 @@ SKETCHES miss with probability (1 - 0.8 ** TUPLE) ** SKETCHES = 3e-6.
 Candidates: texts that agree in a sketch share a bucket.  Exact copies are one text from the
 start.  A bucket offers each of its texts a few pivots (its first, its last, and two by hash), all
 by aggregates that combine before the shuffle, so neither a bucket's size nor a group of copies
-makes quadratic work.  Then, in each bucket whose other texts are of several classes, every pair
-of them of different classes is compared in blocks: each block of the texts outside of the
+makes quadratic work.  Each text meets the one pivot that it shares most sketches with; then pivots of a
+bucket that are still of different classes meet each other, and in buckets of up to SMALL texts
+all texts meet their pivots of other classes.  Then, in each bucket that still has several classes, every pair
+of its texts of different classes is compared in blocks: each block of the texts outside of the
 bucket's largest class meets every block of texts of a similar length.  The pairs stay inside a
 task, where a bound from hashed k-mers drops most of them exactly and the rest are aligned; only
 links leave it.  So no pair of texts that share a sketch stays open.
@@ -45,6 +47,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, TUPLE = 24, 4
 #: Sets of ids up to this number are broadcast; larger ones are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Texts of a bucket that all meet its pivots as rows; in larger ones the blocks compare what is open.
+SMALL = 64
 #: Words of a block of texts (a long text is a block of its own), and what a text counts besides its words.
 BLOCK_WORDS, TEXT_WORDS = 1 << 20, 64
 _U = np.uint64
@@ -269,12 +273,8 @@ def _block_links(ids, label, bands, seqs, right, own: bool, key: int, threshold:
     slot = (_occurrences(np.concatenate(kmers), row) >> _U(64 - bits)).astype(np.int64)
     ptr = np.append(0, np.cumsum(n))
     first = np.argmax(bands == key, 1)
-    parent = {x: x for x in label.tolist()}
-
-    def root(x):
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
+    names, code = np.unique(label, return_inverse=True)
+    root = np.arange(len(names))
 
     def present(rows):
         out = np.zeros((len(rows), 1 << bits), np.float32)
@@ -296,36 +296,64 @@ def _block_links(ids, label, bands, seqs, right, own: bool, key: int, threshold:
             both = px @ py.T
             most = both + np.minimum(twice_x[:, None], twice_y[None, :])
             ok = (1 + threshold) * most >= threshold * (n[x][:, None] + n[y][None, :]) - 1e-6
-            ok &= label[x][:, None] != label[y][None, :]
+            ok &= root[code[x]][:, None] != root[code[y]][None, :]
             if own:
                 ok &= x[:, None] < y[None, :]
             i, j = np.nonzero(ok)
             i, j = x[i], y[j]
-            for some in range(0, len(i), 1024):
-                p, q = i[some : some + 1024], j[some : some + 1024]
+            some, size = 0, 16  # few pairs at first: one link may settle many
+            while some < len(i):
+                p, q = i[some : some + size], j[some : some + size]
+                some, size = some + size, min(2 * size, 1024)
                 # A pair that shares an earlier sketch was or is compared there.
                 new = ~((bands[p] == bands[q]) & (np.arange(SKETCHES)[None, :] < first[p][:, None])).any(1)
-                new &= np.array([root(a) != root(b) for a, b in zip(label[p].tolist(), label[q].tolist(), strict=True)], bool)
+                new &= root[code[p]] != root[code[q]]
                 p, q = p[new], q[new]
                 if not len(p):
                     continue
                 hit = similarities([seqs[k] for k in p], [seqs[k] for k in q], threshold) >= threshold
                 for a, b in zip(p[hit].tolist(), q[hit].tolist(), strict=True):
-                    ra, rb = root(int(label[a])), root(int(label[b]))
+                    ra, rb = root[code[a]], root[code[b]]
                     if ra != rb:
-                        parent[ra] = rb
+                        root[root == ra] = rb
                         out[0].append(int(max(ids[a], ids[b]))), out[1].append(int(min(ids[a], ids[b])))
     return out
 
 
-def _between_classes(docs, texts, banded, pivots, labels, seqs, threshold: float) -> DataFrame | None:
-    """Links (a, b) between all texts of a bucket that are of different classes and not pivots; None: no such texts.
+def _and_missing(docs, texts, seqs: DataFrame, ids: DataFrame) -> DataFrame:
+    """seqs with those of the ids that it lacks."""
+    missing = ids.distinct().join(seqs.select("id"), "id", "left_anti")
+    if not missing.limit(1).count():
+        return seqs
+    return seqs.unionByName(materialize(_sequences(docs, texts, missing), "sequences"))
+
+
+def _in_buckets(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, n_words, label, key): each text's row of each sketch; labels are joined to texts, not to those."""
+    own = texts.where(F.size("bands") > 0).select("id", "n_words", "bands")
+    return _labelled(own, "id", labels, "label").select("id", "n_words", "label", F.explode("bands").alias("key"))
+
+
+def _still_open(texts, pivots, labels, best, near) -> DataFrame:
+    """Pairs (a, b) of different classes: the pivots of a bucket, and in small ones each text and its pivots."""
+    for i in range(4):
+        pivots = _labelled(pivots, f"p{i}", labels, f"l{i}")
+    pivots = pivots.select("key", "n", F.array_distinct(F.array(*(F.struct(F.col(f"p{i}").alias("id"), F.col(f"s{i}").alias("n_words"), F.col(f"l{i}").alias("label")) for i in range(4)))).alias("ps"))
+    large = pivots.where(F.col("n") > SMALL).select("ps", F.explode("ps").alias("x")).select("x.*", "ps")
+    small = _in_buckets(texts, labels).join(pivots.where(F.col("n") <= SMALL).select("key", "ps"), "key").select("id", "n_words", "label", "ps")
+    x = large.unionByName(small).select("id", "n_words", "label", F.explode("ps").alias("p")).where("label <> p.label").where(near(F.col("n_words"), F.col("p.n_words")))
+    x = x.select(F.greatest("id", "p.id").alias("a"), F.least("id", "p.id").alias("b")).distinct()
+    return x.join(best, ["a", "b"], "left_anti")
+
+
+def _between_classes(docs, texts, pivots, labels, seqs, threshold: float) -> DataFrame | None:
+    """Links (a, b) between all texts of a bucket that are of different classes; None: no such texts.
 
-    Pivots were compared with every text of the bucket before.
+    In buckets of up to SMALL texts the pivots were compared with every text before.
     """
     width = 1e-3 - float(np.log(threshold))  # texts that can be linked are at most one length class apart
-    members = banded.join(pivots, "key").where("id <> p0 and id <> p1 and id <> p2 and id <> p3").select("id", "n_words", "key")
-    members = materialize(_labelled(members, "id", labels, "label"), "open")
+    members = _in_buckets(texts, labels).join(pivots, "key").where(f"n > {SMALL} or id not in (p0, p1, p2, p3)")
+    members = materialize(members.select("id", "n_words", "key", "label"), "open")
     mixed = members.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("n"), F.max_by("label", F.struct("n", "label")).alias("major"))
     mixed = materialize(mixed.where("n > 1").drop("n"), "mixed", light=True)
     if not mixed.limit(1).count():
@@ -338,9 +366,7 @@ def _between_classes(docs, texts, banded, pivots, labels, seqs, threshold: float
     tasks = x.join(y, "key").where("cy - cx in (0, 1) or cy - cx = -1 and not minor").withColumn("gx", F.explode(F.expr("sequence(0, nx - 1)"))).withColumn("gy", F.explode(F.expr("sequence(0, ny - 1)")))
     tasks = tasks.where("not minor or cx <> cy or gx <= gy").withColumn("own", F.expr("minor and cx = cy and gx = gy")).drop("nx", "ny")
     tasks = materialize(tasks.withColumn("task", F.monotonically_increasing_id()), "blocks", light=True)
-    missing = members.select("id").distinct().join(seqs.select("id"), "id", "left_anti")
-    if missing.limit(1).count():
-        seqs = seqs.unionByName(materialize(_sequences(docs, texts, missing), "sequences"))
+    seqs = _and_missing(docs, texts, seqs, members.select("id"))
     members = members.join(grid, ["key", "c", "minor"]).withColumn("g", F.pmod(F.xxhash64("id"), F.col("n"))).select("key", "c", "minor", "g", "id", "label")
     sides = [
         members.where("minor").drop("minor").join(tasks.select("key", F.col("cx").alias("c"), F.col("gx").alias("g"), "task", "own"), ["key", "c", "g"]).withColumn("right", F.lit(False)),
@@ -375,24 +401,26 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     texts = materialize(texts, "texts")
     banded = texts.where(F.size("bands") > 0).select("id", "n_words", F.explode("bands").alias("key"))
     h = F.xxhash64("id")
-    pivots = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("p0"), F.max("id").alias("p1"), F.min_by("id", h).alias("p2"), F.max_by("id", h).alias("p3")).where("n > 1")
-    pivots = materialize(pivots.drop("n"), "pivots", light=True)
-    shared = banded.join(pivots, "key")
-    found = shared.select("id", F.explode(F.array_distinct(F.array("p0", "p1", "p2", "p3"))).alias("pivot")).where("id <> pivot")
-    pairs = found.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).groupBy("a", "b").agg(F.count("*").alias("weight"))
-    size = texts.select("id", F.greatest(F.col("n_words") - (SHINGLE - 1), F.lit(1)).alias("size"))
-    pairs = pairs.join(size.withColumnsRenamed({"id": "a", "size": "size_a"}), "a").join(size.withColumnsRenamed({"id": "b", "size": "size_b"}), "b")
-    pairs = pairs.where(F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b")).select("a", "b", "weight")
-    pairs = materialize(pairs, "pairs", light=True)
-    seqs = materialize(_sequences(docs, texts, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), "sequences")
+    first, last, least, most = F.min("id"), F.max("id"), F.min_by("id", h), F.max_by("id", h)
+    sizes = F.min_by("n_words", "id"), F.max_by("n_words", "id"), F.min_by("n_words", h), F.max_by("n_words", h)
+    pivots = banded.groupBy("key").agg(F.count("*").alias("n"), *(p.alias(f"p{i}") for i, p in enumerate((first, last, least, most))), *(x.alias(f"s{i}") for i, x in enumerate(sizes)))
+    pivots = materialize(pivots.where("n > 1"), "pivots", light=True)
+    grams = lambda c: F.greatest(c - (SHINGLE - 1), F.lit(1))
+    near = lambda m, n: F.least(grams(m), grams(n)) >= threshold * F.greatest(grams(m), grams(n))
+    offered = F.array_distinct(F.array(*(F.struct(F.col(f"p{i}").alias("id"), F.col(f"s{i}").alias("n_words")) for i in range(4))))
+    found = banded.join(pivots, "key").select("id", "n_words", F.explode(offered).alias("p")).where("id <> p.id").where(near(F.col("n_words"), F.col("p.n_words")))
+    found = found.groupBy("id", F.col("p.id").alias("pivot")).agg(F.count("*").alias("weight"))
     # First each text with the pivot that it shares most sketches with, then what is still open.
-    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("weight", -F.col("b"))).alias("b"))
+    best = found.groupBy("id").agg(F.max_by("pivot", F.struct("weight", -F.col("pivot"))).alias("pivot"))
+    best = materialize(best.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct(), "best", light=True)
+    seqs = materialize(_sequences(docs, texts, best.select(F.col("a").alias("id")).union(best.select("b")).distinct()), "sequences")
     links = materialize(_verify(best, seqs, threshold).select("a", "b"), "links")
     labels = components(links)
-    rest = _labelled(_labelled(pairs, "a", labels, "la"), "b", labels, "lb").where("la <> lb").join(best, ["a", "b"], "left_anti").select("a", "b")
+    rest = materialize(_still_open(texts, pivots, labels, best, near), "rest", light=True)
+    seqs = _and_missing(docs, texts, seqs, rest.select(F.col("a").alias("id")).union(rest.select("b")))
     links = materialize(links.unionByName(_verify(rest, seqs, threshold).select("a", "b")), "links")
     labels = components(links)
-    got = _between_classes(docs, texts, banded, pivots, labels, seqs, threshold)
+    got = _between_classes(docs, texts, pivots, labels, seqs, threshold)
     if got is not None:
         labels = components(links.unionByName(got))
     named = labels.join(copies.select("id", "rep"), "id").groupBy("label").agg(F.min("rep").alias("least"))

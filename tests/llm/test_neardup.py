@@ -149,3 +149,20 @@ def test_a_crowd_under_one_id(spark, prose):
     x = spark.createDataFrame(rows, "doc_id long, text string")
     out = N.one_of_each(spark, x, "")
     assert out.count() == 301 and out.where("doc_id = 2").count() == 0 and out.agg(F.countDistinct("text")).first()[0] == 301
+
+
+def test_pairs_do_not_grow_with_a_group_of_near_copies(spark, rng, prose, monkeypatch):
+    """A group that shares all buckets gives each text one pair, and a class as all pairs would."""
+    t, docs = prose(200).split(), []
+    for i in range(400):
+        u = list(t)
+        for k in rng.sample(range(200), 2):
+            u[k] = f"e{i}x{k}"
+        docs.append((i, " ".join(u)))
+    made, plain = [], N._verify
+    monkeypatch.setattr(N, "_verify", lambda pairs, *rest: made.append(pairs.count()) or plain(pairs, *rest))
+    joined, own = [], N._labelled
+    monkeypatch.setattr(N, "_labelled", lambda rows, *rest: joined.append(rows.count()) or own(rows, *rest))
+    got = N.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["class_id"] for r in got} == {0}
+    assert sum(made) <= 1.5 * len(docs) and max(joined) <= len(docs)
