@@ -1,12 +1,13 @@
 """Vectorised words, hashes and windows over Arrow text columns.
 
-A batch is walked in chunks of a few MB, so that the arrays made from it stay small whatever
-the batch size; one text is never cut.  Words are runs of bytes of a class: no class splits a
+A batch is walked in chunks of half a MB, so that the arrays made from it (about 50 times a chunk)
+stay small whatever the batch size; one text is never cut.  Words are runs of bytes of a class: no class splits a
 UTF-8 sequence, as every byte over 0x7F is in the same class.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 _U = np.uint64
 
 
@@ -97,10 +98,18 @@ def text_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(column, "") if column.null_count else column
 
 
+def release() -> None:
+    """Give freed memory back to the system; a worker that later stages use again would keep it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     n = len(texts)
     if not n:
         return
+    release()
     offs = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
     lo = 0

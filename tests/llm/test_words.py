@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -43,3 +44,13 @@ def test_packing_round_trips(keys, ints):
 
 def test_spread():
     assert W.spread(np.array([1, 3]), 2, 6).tolist() == [False, True, True, True, True, False]
+
+
+def test_memory_of_words_does_not_follow_the_batch():
+    """8 MB of texts: the arrays made from them are those of one chunk."""
+    texts = W.text_array(pa.array(["some words of a plain text " * 40] * 8000))
+    tracemalloc.start()
+    n = sum(len(W.words(c, W.ALNUM, lower=True).starts) for c in W.chunks(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 8000 * 240 and peak < 40e6
