@@ -13,7 +13,8 @@ makes quadratic work.  Each text meets the one pivot that it shares most sketche
 bucket that are still of different classes meet each other, and in buckets of up to SMALL texts
 all texts meet their pivots of other classes.  Then, in each bucket that still has several classes, every pair
 of its texts of different classes is compared in blocks: each block of the texts outside of the
-bucket's largest class meets every block of texts of a similar length.  The pairs stay inside a
+bucket's largest class meets every block of texts of a similar length (a bucket that fits into one
+block is one task, to which each of its texts goes once).  The pairs stay inside a
 task, where a bound from hashed k-mers drops most of them exactly and the rest are aligned; only
 links leave it.  So no pair of texts that share a sketch stays open.
 
@@ -265,58 +266,68 @@ def _labelled(rows: DataFrame, column: str, labels: DataFrame, out: str) -> Data
 
 
 def _block_links(ids, label, bands, seqs, right, own: bool, key: int, threshold: float) -> tuple[list[int], list[int]]:
-    """Links that join the classes of a block and another (own: of a block and itself), as (a, b)."""
+    """Links that join the classes of the left texts and the right ones (own: and of the left ones themselves), as (a, b)."""
     kmers = [W.windows(x.astype(_U), SHINGLE, 36) for x in seqs]
     n = np.array([len(k) for k in kmers], np.int64)
     row = np.repeat(np.arange(len(n)), n)
-    bits = max(1, int(4 * n.max() - 1).bit_length())
-    slot = (_occurrences(np.concatenate(kmers), row) >> _U(64 - bits)).astype(np.int64)
+    labelled = _occurrences(np.concatenate(kmers), row)
     ptr = np.append(0, np.cumsum(n))
     first = np.argmax(bands == key, 1)
     names, code = np.unique(label, return_inverse=True)
     root = np.arange(len(names))
 
-    def present(rows):
+    def present(rows, bits):
         out = np.zeros((len(rows), 1 << bits), np.float32)
         for i, r in enumerate(rows):
-            out[i, slot[ptr[r] : ptr[r + 1]]] = 1
+            out[i, (labelled[ptr[r] : ptr[r + 1]] >> _U(64 - bits)).astype(np.int64)] = 1
         return out, n[rows] - out.sum(1).astype(np.int64)
 
+    def by_length(rows):
+        return rows[np.argsort(n[rows], kind="stable")]
+
     out = ([], [])
-    xs = np.flatnonzero(~right)
-    ys = xs if own else np.flatnonzero(right)
-    step = max(1, min(2048, (1 << 24) >> bits))
-    for lo in range(0, len(xs), step):
-        x = xs[lo : lo + step]
-        px, twice_x = present(x)
-        for at in range(lo if own else 0, len(ys), step):
-            y = ys[at : at + step]
-            py, twice_y = present(y)
-            # K-mers outside of the common slots are surely not in the other text.
-            both = px @ py.T
-            most = both + np.minimum(twice_x[:, None], twice_y[None, :])
-            ok = (1 + threshold) * most >= threshold * (n[x][:, None] + n[y][None, :]) - 1e-6
-            ok &= root[code[x]][:, None] != root[code[y]][None, :]
-            if own:
-                ok &= x[:, None] < y[None, :]
-            i, j = np.nonzero(ok)
-            i, j = x[i], y[j]
-            some, size = 0, 16  # few pairs at first: one link may settle many
-            while some < len(i):
-                p, q = i[some : some + size], j[some : some + size]
-                some, size = some + size, min(2 * size, 1024)
-                # A pair that shares an earlier sketch was or is compared there.
-                new = ~((bands[p] == bands[q]) & (np.arange(SKETCHES)[None, :] < first[p][:, None])).any(1)
-                new &= root[code[p]] != root[code[q]]
-                p, q = p[new], q[new]
-                if not len(p):
-                    continue
-                hit = similarities([seqs[k] for k in p], [seqs[k] for k in q], threshold) >= threshold
-                for a, b in zip(p[hit].tolist(), q[hit].tolist(), strict=True):
-                    ra, rb = root[code[a]], root[code[b]]
-                    if ra != rb:
-                        root[root == ra] = rb
-                        out[0].append(int(max(ids[a], ids[b]))), out[1].append(int(min(ids[a], ids[b])))
+    xs, others = by_length(np.flatnonzero(~right)), by_length(np.flatnonzero(right))
+    lo = 0
+    while lo < len(xs):
+        # Texts of similar length, against those that are long and short enough for a link.
+        longest = n[xs[lo]] / threshold
+        top = longest / threshold + 1
+        bits = max(1, int(4 * min(top, n.max()) - 1).bit_length())
+        step = max(1, min(2048, (1 << 24) >> bits))
+        x = xs[lo : min(lo + step, int(np.searchsorted(n[xs], longest, "right")))]
+        px, twice_x = present(x, bits)
+        for ys, same in [(xs, True), (others, False)][not own :]:
+            begin = lo if same else int(np.searchsorted(n[ys], threshold * n[x[0]] - 1))
+            end = int(np.searchsorted(n[ys], n[x[-1]] / threshold + 1, "right"))
+            for at in range(begin, end, step):
+                y = ys[at : min(at + step, end)]
+                py, twice_y = present(y, bits)
+                # K-mers outside of the common slots are surely not in the other text.
+                both = px @ py.T
+                most = both + np.minimum(twice_x[:, None], twice_y[None, :])
+                ok = (1 + threshold) * most >= threshold * (n[x][:, None] + n[y][None, :]) - 1e-6
+                ok &= root[code[x]][:, None] != root[code[y]][None, :]
+                if same:
+                    ok &= lo + np.arange(len(x))[:, None] < at + np.arange(len(y))[None, :]
+                i, j = np.nonzero(ok)
+                i, j = x[i], y[j]
+                some, size = 0, 16  # few pairs at first: one link may settle many
+                while some < len(i):
+                    p, q = i[some : some + size], j[some : some + size]
+                    some, size = some + size, min(2 * size, 1024)
+                    # A pair that shares an earlier sketch was or is compared there.
+                    new = ~((bands[p] == bands[q]) & (np.arange(SKETCHES)[None, :] < first[p][:, None])).any(1)
+                    new &= root[code[p]] != root[code[q]]
+                    p, q = p[new], q[new]
+                    if not len(p):
+                        continue
+                    hit = similarities([seqs[k] for k in p], [seqs[k] for k in q], threshold) >= threshold
+                    for a, b in zip(p[hit].tolist(), q[hit].tolist(), strict=True):
+                        ra, rb = root[code[a]], root[code[b]]
+                        if ra != rb:
+                            root[root == ra] = rb
+                            out[0].append(int(max(ids[a], ids[b]))), out[1].append(int(min(ids[a], ids[b])))
+        lo += len(x)
     return out
 
 
@@ -346,6 +357,23 @@ def _still_open(texts, pivots, labels, best, near) -> DataFrame:
     return x.join(best, ["a", "b"], "left_anti")
 
 
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """(task, key, own, right, id, label): blocks of the texts outside of a bucket's largest class meet all of similar length."""
+    grid = members.groupBy("key", "c", "minor").agg(F.ceil(F.sum(F.col("n_words") + TEXT_WORDS) / BLOCK_WORDS).alias("n"))
+    grid = materialize(grid, "grid", light=True)
+    x, y = grid.where("minor").select("key", F.col("c").alias("cx"), F.col("n").alias("nx")), grid.select("key", F.col("c").alias("cy"), "minor", F.col("n").alias("ny"))
+    tasks = x.join(y, "key").where("cy - cx in (0, 1) or cy - cx = -1 and not minor").withColumn("gx", F.explode(F.expr("sequence(0, nx - 1)"))).withColumn("gy", F.explode(F.expr("sequence(0, ny - 1)")))
+    tasks = tasks.where("not minor or cx <> cy or gx <= gy").withColumn("own", F.expr("minor and cx = cy and gx = gy")).drop("nx", "ny")
+    tasks = materialize(tasks.withColumn("task", F.monotonically_increasing_id()), "blocks", light=True)
+    members = members.join(grid, ["key", "c", "minor"]).withColumn("g", F.pmod(F.xxhash64("id"), F.col("n"))).select("key", "c", "minor", "g", "id", "label")
+    sides = [
+        members.where("minor").drop("minor").join(tasks.select("key", F.col("cx").alias("c"), F.col("gx").alias("g"), "task", "own"), ["key", "c", "g"]).withColumn("right", F.lit(False)),
+        members.join(tasks.where("not own").select("key", F.col("cy").alias("c"), "minor", F.col("gy").alias("g"), "task", "own"), ["key", "c", "minor", "g"]).withColumn("right", F.lit(True)),
+    ]
+    columns = ["task", "key", "own", "right", "id", "label"]
+    return sides[0].select(*columns).unionByName(sides[1].select(*columns))
+
+
 def _between_classes(docs, texts, pivots, labels, seqs, threshold: float) -> DataFrame | None:
     """Links (a, b) between all texts of a bucket that are of different classes; None: no such texts.
 
@@ -354,27 +382,23 @@ def _between_classes(docs, texts, pivots, labels, seqs, threshold: float) -> Dat
     width = 1e-3 - float(np.log(threshold))  # texts that can be linked are at most one length class apart
     members = _in_buckets(texts, labels).join(pivots, "key").where(f"n > {SMALL} or id not in (p0, p1, p2, p3)")
     members = materialize(members.select("id", "n_words", "key", "label"), "open")
-    mixed = members.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("n"), F.max_by("label", F.struct("n", "label")).alias("major"))
+    words = F.sum(F.col("n_words") + TEXT_WORDS)
+    mixed = members.groupBy("key", "label").agg(F.count("*").alias("n"), words.alias("words")).groupBy("key")
+    mixed = mixed.agg(F.count("*").alias("n"), F.max_by("label", F.struct("n", "label")).alias("major"), (F.sum("words") <= BLOCK_WORDS).alias("one"))
     mixed = materialize(mixed.where("n > 1").drop("n"), "mixed", light=True)
     if not mixed.limit(1).count():
         return None
     members = members.join(mixed, "key").withColumn("minor", F.col("label") != F.col("major")).withColumn("c", F.floor(F.log(F.col("n_words") - (SHINGLE - 1)) / width))
-    members = materialize(members.select("key", "c", "minor", "id", "label", "n_words"), "open")
-    grid = members.groupBy("key", "c", "minor").agg(F.ceil(F.sum(F.col("n_words") + TEXT_WORDS) / BLOCK_WORDS).alias("n"))
-    grid = materialize(grid, "grid", light=True)
-    x, y = grid.where("minor").select("key", F.col("c").alias("cx"), F.col("n").alias("nx")), grid.select("key", F.col("c").alias("cy"), "minor", F.col("n").alias("ny"))
-    tasks = x.join(y, "key").where("cy - cx in (0, 1) or cy - cx = -1 and not minor").withColumn("gx", F.explode(F.expr("sequence(0, nx - 1)"))).withColumn("gy", F.explode(F.expr("sequence(0, ny - 1)")))
-    tasks = tasks.where("not minor or cx <> cy or gx <= gy").withColumn("own", F.expr("minor and cx = cy and gx = gy")).drop("nx", "ny")
-    tasks = materialize(tasks.withColumn("task", F.monotonically_increasing_id()), "blocks", light=True)
+    members = materialize(members.select("key", "one", "c", "minor", "id", "label", "n_words"), "open")
     seqs = _and_missing(docs, texts, seqs, members.select("id"))
-    members = members.join(grid, ["key", "c", "minor"]).withColumn("g", F.pmod(F.xxhash64("id"), F.col("n"))).select("key", "c", "minor", "g", "id", "label")
-    sides = [
-        members.where("minor").drop("minor").join(tasks.select("key", F.col("cx").alias("c"), F.col("gx").alias("g"), "task", "own"), ["key", "c", "g"]).withColumn("right", F.lit(False)),
-        members.join(tasks.where("not own").select("key", F.col("cy").alias("c"), "minor", F.col("gy").alias("g"), "task", "own"), ["key", "c", "minor", "g"]).withColumn("right", F.lit(True)),
-    ]
-    columns = ["task", "key", "own", "right", "id", "label"]
-    rows = sides[0].select(*columns).unionByName(sides[1].select(*columns))
-    rows = rows.join(texts.select("id", "bands"), "id").join(seqs, "id").select(*columns, "bands", "seq")
+    # A bucket that fits into a block is one task, to which each of its texts goes once.
+    rows = members.where("one").select(F.lit(-1).cast("long").alias("task"), "key", F.lit(True).alias("own"), (~F.col("minor")).alias("right"), "id", "label")
+    members = members.where("not one").drop("one")
+    if members.limit(1).count():
+        rows = rows.unionByName(_in_blocks(members))
+    # Words and sketches are joined to texts; a text then goes to its tasks.
+    rows = rows.groupBy("id", "label").agg(F.collect_list(F.struct("task", "key", "own", "right")).alias("at"))
+    rows = rows.join(texts.select("id", "bands"), "id").join(seqs, "id").select("id", "label", "bands", "seq", F.inline("at"))
 
     def run(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
@@ -383,7 +407,7 @@ def _between_classes(docs, texts, pivots, labels, seqs, threshold: float) -> Dat
         a, b = _block_links(t["id"].to_numpy(), t["label"].to_numpy(), bands, seq, t["right"].to_numpy(), t["own"][0].as_py(), t["key"][0].as_py(), threshold)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return materialize(rows.groupBy("task").applyInArrow(run, "a long, b long").distinct(), "links")
+    return materialize(rows.groupBy("key", "task").applyInArrow(run, "a long, b long").distinct(), "links")
 
 
 def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:

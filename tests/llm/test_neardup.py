@@ -166,3 +166,33 @@ def test_pairs_do_not_grow_with_a_group_of_near_copies(spark, rng, prose, monkey
     got = N.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r["class_id"] for r in got} == {0}
     assert sum(made) <= 1.5 * len(docs) and max(joined) <= len(docs)
+
+
+def test_a_text_goes_once_to_each_bucket_that_is_still_open(spark, rng, prose, monkeypatch, tmp_path):
+    """Unlike edits of one text stay open in its buckets; rows sent to tasks and joined are counted."""
+    t, docs = prose(150).split(), []
+    for i in range(300):
+        u = list(t)
+        for k in rng.sample(range(150), 5):
+            u[k] = f"e{i}x{k}"
+        docs.append((i, " ".join(u)))
+    plain, at = N._block_links, str(tmp_path)
+
+    def counted(ids, label, bands, seqs, right, own, key, threshold):
+        import os
+        import uuid
+
+        with open(os.path.join(at, uuid.uuid4().hex), "w") as f:
+            f.write(f"{key} {len(ids)}")
+        return plain(ids, label, bands, seqs, right, own, key, threshold)
+
+    monkeypatch.setattr(N, "_block_links", counted)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in N.near_duplicates(frame).collect()}
+    sent = [tuple(map(int, p.read_text().split())) for p in tmp_path.iterdir()]
+    size = {r["key"]: r["count"] for r in N.sketch(frame).select(F.explode("bands").alias("key")).groupBy("key").count().collect()}
+    assert sent and len(got) == 300 and len(set(got.values())) > 100
+    assert sum(n for _, n in sent) <= sum(size[k] for k in {k for k, _ in sent})
+    monkeypatch.setattr(N, "_block_links", plain)
+    monkeypatch.setattr(N, "BLOCK_WORDS", 3000)  # no bucket fits into a block
+    assert got == {r["doc_id"]: r["class_id"] for r in N.near_duplicates(frame).collect()}
